@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import leakage, packing, spans
+from seriesloom.llm import leakage, names, packing, spans, survivors
 from seriesloom.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "drug_jobs")
+    products = names.variant_pairs(names.product_classes(jobs, table(spark, d, "datapoints")), "product")
+    return products.unionByName(names.variant_pairs(names.company_classes(jobs), "manufacturer"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every string with the class of strings it belongs to."""
+    jobs = table(spark, d, "drug_jobs")
+    products = names.product_classes(jobs, table(spark, d, "datapoints")).select(F.lit("product").alias("kind"), "name", "class")
+    return products.unionByName(names.company_classes(jobs).select(F.lit("manufacturer").alias("kind"), "name", "class"))
+
+
+def _survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(survivors.readings(table(spark, d, "datapoints"), table(spark, d, "source_documents"), table(spark, d, "drug_jobs")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d).filter("n_readings >= 2").select("datapoint_id")
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per figure, built field by field."""
+    return _survivors(spark, d)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that have to be split."""
     return packing.pack_documents(table(spark, d, "documents")).filter("pieces > 1 and piece = 1").select("doc_id")
@@ -41,4 +67,4 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     return runs.join(sized, "doc_id").withColumn("share", F.col("shared_chars") / F.col("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_documents)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_survivors, p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_documents)}
