@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 # Spellings (squashed: lower case, no dots, single spaces) and the place they mean.
 PLACES = {
-    "united-states": ["us", "usa", "united states", "united states of america", "u s"],
-    "ex-united-states": ["ex us", "exus", "outside us", "outside the us", "outside of us", "outside of the us", "non us", "outside the united states", "outside united states", "ex united states"],
-    "worldwide": ["worldwide", "global", "world", "total", "world wide"],
-    "international": ["international", "other international"],
-    "rest-of-world": ["rest of world", "row", "rest of the world"],
-    "europe": ["europe", "eu"],
-    "japan": ["japan"],
+    "worldwide": ["worldwide", "global"],
+    "united-states": ["us", "usa", "united states"],
+    "ex-united-states": ["ex us", "outside of us", "outside the us", "rest of world"],
     "north-america": ["north america", "americas"],
-}
+    "europe": ["europe"],
+    "japan": ["japan"],
+}
 
 
 def squash(raw: Column) -> Column:
@@ -28,7 +26,7 @@ def slug(raw: Column) -> Column:
 
 
 def normalize_geography(raw: Column) -> Column:
-    """The place meant; ``unspecified`` for null or blank; ``unrecognised-<slug>`` for other words."""
+    """The place meant; ``unspecified`` for null or wordless; ``unrecognised-<slug>`` for other words."""
     s = squash(raw)
     known = F.create_map(*[F.lit(x) for place, names in PLACES.items() for n in names for x in (n, place)])
-    return F.when(raw.isNull() | (F.trim(raw) == ""), "unspecified").otherwise(F.coalesce(F.try_element_at(known, s), F.concat(F.lit("unrecognised-"), slug(raw))))
+    return F.when(raw.isNull() | (s == ""), "unspecified").otherwise(F.coalesce(F.try_element_at(known, s), F.concat(F.lit("unrecognised-"), slug(s))))
