@@ -55,7 +55,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.sharing_pairs(spans.shared_windows(table(spark, d, "documents")))
+    return spans.sharing_pairs(spans.shared_windows(table(spark, d, "documents"), positions=False))
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -67,4 +67,9 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     return runs.join(sized, "doc_id").withColumn("share", F.col("shared_chars") / F.col("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_survivors, p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_documents)}
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the longest doubling level at which it still shares a window."""
+    return spans.levels(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_survivors, p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_documents, p10_levels)}

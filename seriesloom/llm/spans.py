@@ -24,6 +24,9 @@ MIN_SPAN = 320
 _LONG, _INT = T.LongType(), T.IntegerType()
 _ROW = T.StructType([T.StructField("h", _LONG), T.StructField("doc", _LONG), T.StructField("pos", _INT)])
 _ARROW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+_WIDE = T.StructType([*_ROW.fields, T.StructField("hot", T.BooleanType()), T.StructField("lead", T.BooleanType())])
+_WIDE_ARROW = pa.schema([*_ARROW, ("hot", pa.bool_()), ("lead", pa.bool_())])
+HOT = 10_000  # a window of more records than this is handled apart, so that no task gathers it
 
 
 def _emit(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -58,53 +61,89 @@ def anchors(documents: DataFrame, length: int) -> DataFrame:
     return documents.select("doc_id", "text").filter(F.length("text") >= 2 * length).mapInArrow(run, _ROW)
 
 
-def placements(candidates: DataFrame, documents: DataFrame, length: int) -> DataFrame:
-    """(h, doc, pos): every window of ``2 * length`` characters that holds a surviving window of ``length``."""
-    span = 2 * length
+def held_positions(documents: DataFrame, length: int) -> DataFrame:
+    """(doc, pos, hot): the windows of ``length`` that stand in more than one record, hot where in very many.
+
+    Counts combine before the shuffle and the join back may be split by AQE, so a
+    window of a third of all records gathers nowhere.
+    """
+    first = anchors(documents, length)
+    groups = first.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    return first.join(groups.select("h", (F.col("n") > HOT).alias("hot")), "h").select("doc", "pos", "hot")
+
+
+def placements(held: DataFrame, documents: DataFrame, length: int, positions: bool) -> DataFrame:
+    """(h, doc, pos, hot, lead): the windows of ``2 * length`` characters whose own anchor is held.
+
+    A window's anchor is the least of the windows of ``length`` inside it, so it
+    and its being hot depend on the window's characters alone. ``lead`` marks a
+    record's first window with these characters; the others come only where
+    ``positions`` are asked for.
+    """
+    span, width = 2 * length, length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, held = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2)
-            begins, found = np.asarray(held.offsets), held.values.to_numpy(zero_copy_only=False)
-            for first, codes, bounds in code_points(texts):
-                parts, prefix = [], prefix_hashes(codes)
-                for k in range(len(bounds) - 1):
-                    n = bounds[k + 1] - bounds[k]
-                    at = found[begins[first + k] : begins[first + k + 1]]
-                    mark = np.zeros(n + 1, np.int64)
-                    np.add.at(mark, np.maximum(at - length, 0), 1)
-                    np.add.at(mark, np.minimum(at, n) + 1 if n else at * 0, -1)
-                    p = np.flatnonzero(np.cumsum(mark[: max(n - span + 1, 0)]) > 0)
-                    if len(p):
-                        parts.append((window_hashes(prefix, p + bounds[k], span), np.full(len(p), ids[first + k]), p))
-                if parts:
-                    yield _emit(parts)
-
-    held = candidates.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("pos").alias("held"))
+            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            begins, flat = np.asarray(rows.offsets), rows.values
+            found, warm = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+            for first, codes, bounds in code_points(batch.column(1)):
+                if len(codes) < span:
+                    continue
+                prefix = prefix_hashes(codes)
+                least = sliding_last_min(window_hashes(prefix, np.arange(len(codes) - length + 1), length), width)
+                state = np.zeros(len(codes), np.int8)  # 0 not held, 1 held, 2 hot
+                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(begins[first : first + len(bounds)]))
+                inside = slice(begins[first], begins[first + len(bounds) - 1])
+                state[bounds[owner] + found[inside]] = 1 + warm[inside].astype(np.int8)
+                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
+                p = np.flatnonzero((bounds[doc + 1] - np.arange(len(least)) >= span) & (state[least] > 0))
+                if not len(p):
+                    continue
+                h, k = window_hashes(prefix, p, span), doc[p]
+                order = np.lexsort((p, h, k))
+                lead = np.zeros(len(p), bool)
+                lead[order] = np.append(True, (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1]))
+                keep = slice(None) if positions else lead
+                columns = [h.view(np.int64)[keep], ids[first + k][keep], (p - bounds[k]).astype(np.int32)[keep], (state[least[p]] == 2)[keep], lead[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_WIDE_ARROW)
+
+    rows = held.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("pos", "hot")).alias("held"))
     texts = documents.select("doc_id", "text").filter(F.length("text") >= span)
-    return texts.join(held, "doc_id").select("doc_id", "text", "held").mapInArrow(run, _ROW)
+    joined = texts.join(rows, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("held").alias("held"))
+    return joined.select("doc_id", "text", "held").mapInArrow(run, _WIDE)
 
 
-def repeated(windows: DataFrame) -> DataFrame:
+def repeated(windows: DataFrame, hot: bool) -> DataFrame:
     """The windows that stand in more than one record, with a signature of the records they stand in.
 
-    Counting combines before the shuffle, so a window of a third of all records
-    costs one row per task; the join back may be split by AQE.
+    Hashes of at most HOT records meet in one shuffle. Those of more are counted
+    by partial aggregation and joined back, which AQE may split.
     """
-    groups = windows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("sign"), F.count("*").alias("n"))
-    return windows.join(groups.filter("lo < hi").select("h", "sign", "n"), "h")
-
-
-def shared_windows(documents: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc, pos, h, sign, n) of all windows of ``min_span`` characters that stand in two or more records.
+    one = F.when(F.col("lead"), F.xxhash64("doc")).otherwise(0)
+    w = Window.partitionBy("h")
+    cool = windows.filter("not hot").select(
+        "h", "doc", "pos", "hot", "lead", F.min("doc").over(w).alias("lo"), F.max("doc").over(w).alias("hi"),
+        F.bit_xor(one).over(w).alias("sign"), F.sum(F.col("lead").cast("long")).over(w).alias("n"),
+    ).filter("lo < hi").drop("lo", "hi")
+    if not hot:
+        return cool
+    rest = windows.filter("hot")
+    groups = rest.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(one).alias("sign"), F.sum(F.col("lead").cast("long")).alias("n"))
+    return cool.unionByName(rest.join(groups.filter("lo < hi").select("h", "sign", "n"), "h"))
+
+
+def shared_windows(documents: DataFrame, min_span: int = MIN_SPAN, positions: bool = True) -> DataFrame:
+    """(h, doc, pos, hot, lead, sign, n) of the windows of ``min_span`` characters that stand in two or more records.
 
     Rows of one ``doc_id`` are one record. Null, empty and shorter texts have
-    none; repetition within one record alone is none. Other columns are not read.
+    none; repetition within one record alone is none. Other columns are not
+    read. Without ``positions`` each record has a window's characters once.
     """
     half = min_span // 2
-    first = cut_lineage(anchors(documents, half))  # read twice below; a lost executor costs no recomputation
-    wide = placements(repeated(first.distinct()), documents, half).distinct()
-    return repeated(cut_lineage(wide))
+    held = cut_lineage(held_positions(documents, half))
+    hot = not held.filter("hot").isEmpty()
+    return repeated(placements(held, documents, half, positions), hot)
 
 
 def sharing_classes(windows: DataFrame) -> DataFrame:
@@ -130,10 +169,12 @@ def stretches(windows: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 
 def longer(windows: DataFrame, length: int) -> DataFrame:
     """From repeated windows of ``length``, the repeated windows of twice that: two of them, end to end."""
-    a = windows.select("doc", "pos", "h")
-    b = windows.select("doc", (F.col("pos") - length).alias("pos"), F.col("h").alias("h2"))
-    joined = a.join(b, ["doc", "pos"]).select(F.xxhash64("h", "h2").alias("h"), "doc", "pos")
-    return repeated(joined)
+    a = windows.select("doc", "pos", "h", "hot")
+    b = windows.select("doc", (F.col("pos") - length).alias("pos"), F.col("h").alias("h2"), F.col("hot").alias("hot2"))
+    joined = a.join(b, ["doc", "pos"]).select(F.xxhash64("h", "h2").alias("h"), "doc", "pos", (F.col("hot") & F.col("hot2")).alias("hot"))
+    once = Window.partitionBy("doc", "h").orderBy("pos")
+    led = joined.withColumn("lead", F.row_number().over(once) == 1)
+    return repeated(led, not windows.filter("hot").isEmpty())
 
 
 def levels(documents: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
