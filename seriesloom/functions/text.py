@@ -104,10 +104,10 @@ def mentions(quote: Column, aliases: Column) -> Column:
 
 
 def quote_contains(quote: Column, value: Column) -> Column:
-    """Whether the quote spells the value in one of its plain forms, commas ignored."""
+    """Whether the quote spells the value in one of its plain forms, commas ignored; ties round to even as in C."""
     q = F.lower(F.translate(F.coalesce(quote, F.lit("")), ",", ""))
     trimmed = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", value), "0+$", ""), r"\.$", "")
-    return F.coalesce(q.contains(trimmed) | q.contains(F.format_string("%.1f", value)) | q.contains(F.format_string("%.0f", value)), F.lit(False))
+    return F.coalesce(q.contains(trimmed) | q.contains(F.translate(F.format_number(value, 1), ",", "")) | q.contains(F.translate(F.format_number(value, 0), ",", "")), F.lit(False))
 
 
 def verbatim(quote: Column, source: Column, least: int = 1) -> Column:
