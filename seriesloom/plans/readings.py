@@ -55,7 +55,7 @@ _LOOSE = (
     "WHEN regexp_matches(source_date, '^\\d{1,2} [A-Za-z]{3} \\d{4}$') THEN CAST(try_strptime(source_date, '%d %b %Y') AS DATE) WHEN regexp_matches(source_date, '^[A-Za-z]{4,9} \\d{1,2},? \\d{4}$') THEN CAST(try_strptime(replace(source_date, ',', ''), '%B %d %Y') AS DATE) "
     "WHEN regexp_matches(source_date, '^[A-Za-z]{3} \\d{1,2},? \\d{4}$') THEN CAST(try_strptime(replace(source_date, ',', ''), '%b %d %Y') AS DATE) END)"
 )
-SRC = f"src AS (SELECT id, max(job_id) AS job_id, any_value(source_type) AS source_type, any_value(source_title) AS source_title, any_value(source_url) AS source_url, any_value({_LOOSE}) AS filed, any_value(filing_type) AS filing_type, any_value(accession_number) AS accession_number, any_value(retrieval_status) AS retrieval_status, any_value(relevant_datapoints_found) AS relevant FROM source_documents GROUP BY id)"
+SRC = f"src AS (SELECT id, max(job_id) AS job_id, any_value(source_type) AS source_type, any_value(source_title) AS source_title, any_value(source_url) AS source_url, any_value({_LOOSE}) AS filed, any_value(filing_type) AS filing_type, any_value(accession_number) AS accession_number, any_value(retrieval_status) AS retrieval_status, max(relevant_datapoints_found) AS relevant FROM source_documents GROUP BY id)"
 
 
 @query("q_d16_filing_date", f"WITH {SRC} SELECT id, filed FROM src")
