@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions import text as X
@@ -10,6 +10,7 @@ from seriesloom.functions.geo import normalize_geography
 from seriesloom.functions.periods import loose_date, quarter_label
 from seriesloom.operators import annual as A
 from seriesloom.operators.pages import page_cells
+from seriesloom.operators.ranking import global_rank
 from seriesloom.plans import facts, peers, readings as RD, series, workbench
 from seriesloom.plans.base import CELLS, ESTIMATES, OBS, cells, estimates, observations
 from seriesloom.plans.problem_sql import LABEL_OF
@@ -208,7 +209,7 @@ def b06(spark: SparkSession, d: str) -> DataFrame:
     latest = A.rolling_four(k, ["series"]).groupBy("series").agg(F.max_by("r4q", "q").alias("latest"))
     p = A.rolling_peak(k, ["series"]).join(latest, "series", "left")
     order = F.array_position(F.array(F.lit("observed"), F.lit("not_yet_observed"), F.lit("no_full_window")), c("status"))
-    return p.select("series", c("r4q").alias("best"), "latest", F.try_divide("latest", "r4q").alias("ratio"), "status", F.row_number().over(Window.orderBy(order, "series")).alias("place"))
+    return p.select("series", c("r4q").alias("best"), "latest", F.try_divide("latest", "r4q").alias("ratio"), "status", order.alias("_order")).transform(lambda r: global_rank(r, [c("_order"), c("series")], "place")).drop("_order")
 
 
 @query("q_b07_best_reported", f"WITH {CELLS}, w AS (SELECT product, q, count(DISTINCT currency) OVER (PARTITION BY product) AS n FROM cells) SELECT product, CASE WHEN max(n) = 1 THEN max(q) END AS q FROM w GROUP BY 1".replace("count(DISTINCT currency) OVER (PARTITION BY product)", "(SELECT count(DISTINCT currency) FROM cells c2 WHERE c2.product = cells.product)"))
@@ -231,7 +232,7 @@ def b11(spark: SparkSession, d: str) -> DataFrame:
     s = cells(spark, d).groupBy("series").agg(F.max("q").alias("lq"), F.count("*").alias("n"))
     m = s.agg(F.max("lq").alias("mq")).withColumn("one", F.lit(1))  # one row whatever the data
     j = s.withColumn("one", F.lit(1)).join(F.broadcast(m), "one").withColumn("behind", c("mq") - c("lq"))
-    return j.select("series", quarter_label(c("lq")).alias("last_quarter"), "behind", ((c("n") < 12) & (c("behind") > 4)).alias("short_and_stopped"), F.row_number().over(Window.orderBy(F.desc("behind"), "series")).alias("place"))
+    return j.select("series", quarter_label(c("lq")).alias("last_quarter"), "behind", ((c("n") < 12) & (c("behind") > 4)).alias("short_and_stopped")).transform(lambda r: global_rank(r, [-c("behind"), c("series")], "place"))
 
 
 @query("q_b12_source_index", f"WITH {SRC}, {DP}, u AS (SELECT src.source_url AS url, 'datapoint' AS fact, dp.product, dp.period FROM dp JOIN src ON dp.source_id = src.id UNION ALL SELECT source_url, 'document', NULL, NULL FROM src) SELECT url, count(*) FILTER (fact = 'datapoint') AS figures, count(*) FILTER (fact = 'document') AS documents, count(DISTINCT product) AS products, min(period) AS lo, max(period) AS hi FROM u GROUP BY 1")

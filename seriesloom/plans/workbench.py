@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.periods import quarter_label
 from seriesloom.functions.text import analog_key, is_missing, normalize_value
 from seriesloom.operators.annual import money_sum
+from seriesloom.operators.ranking import global_rank
 from seriesloom.operators.queue import auto_pass_gate, quality_issues, review_tasks
 from seriesloom.plans.base import CELLS, LAUNCHES, OBS, cells, launches, observations
 from seriesloom.plans.problem_sql import LABEL_OF
@@ -497,7 +498,7 @@ def t12(spark: SparkSession, d: str) -> DataFrame:
 @query("q_t14_series_without_peak", f"WITH {CELLS}, x AS (SELECT series, max(usd) AS top, max(q) AS lq FROM cells GROUP BY 1) SELECT series, top, row_number() OVER (ORDER BY -coalesce(top, 0), series) AS place FROM x WHERE lq < 8099")
 def t14(spark: SparkSession, d: str) -> DataFrame:
     x = cells(spark, d).groupBy("series").agg(F.max("usd").alias("top"), F.max("q").alias("lq")).filter("lq < 8099")
-    return x.select("series", "top", F.row_number().over(Window.orderBy(-F.coalesce("top", F.lit(0.0)), "series")).alias("place"))
+    return global_rank(x.select("series", "top"), [-F.coalesce("top", F.lit(0.0)), c("series")], "place")
 
 
 @query("q_s33_table_browser", f"WITH {JOB} SELECT id, drug_name, status FROM jobs WHERE drug_name ILIKE '%vo%' OR manufacturer ILIKE '%vo%' OR generic_name ILIKE '%vo%' ORDER BY created_at DESC, id LIMIT 100")
