@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.geo import normalize_geography, slug
-from seriesloom.functions.periods import loose_date, period_end, period_label
+from seriesloom.functions.periods import let, loose_date, period_end, period_label
 from seriesloom.operators import readings as R
 from seriesloom.plans.base import _END, CELLS, cells, observations
 from seriesloom.plans.problem_sql import LABEL_OF, label
@@ -160,10 +160,11 @@ def slug_sql(c: str) -> str:
 
 def identity(issuer, product, scope, geography, formulation, reported_as, currency, kind, combined):
     """Eight slugs that say which series a reading belongs to."""
-    part = lambda c, other: F.coalesce(F.nullif(slug(c), F.lit("")), F.lit(other))
-    token = F.when(scope == "Worldwide", F.lit("product-family")).otherwise(slug(scope))
-    line = F.coalesce(F.nullif(slug(reported_as), F.lit("")), F.when(combined, "combined-unnamed").otherwise("own"))
-    return F.concat_ws("_", part(issuer, "unstated"), part(product, "unstated"), F.coalesce(F.nullif(token, F.lit("")), F.lit("unstated")), slug(normalize_geography(geography)), part(formulation, "unstated"), line, part(currency, "unstated"), part(kind, "unstated"))
+    stated = lambda s, other: let(s, lambda x: F.when(x != "", x).otherwise(other))
+    token = F.when(scope == "Worldwide", "product-family").otherwise(slug(scope))
+    line = stated(slug(reported_as), F.when(combined, "combined-unnamed").otherwise("own"))
+    ends = [stated(slug(x), F.lit("unstated")) for x in (issuer, product)], [stated(slug(x), F.lit("unstated")) for x in (currency, kind)]
+    return F.concat_ws("_", *ends[0], stated(token, F.lit("unstated")), let(geography, lambda g: slug(normalize_geography(g))), stated(slug(formulation), F.lit("unstated")), line, *ends[1])
 
 
 _ID = (
