@@ -17,6 +17,7 @@ from seriesloom.plans.problem_sql import LABEL_OF
 from seriesloom.plans.readings import DP, SRC, place_sql, readings, sources
 from seriesloom.session import table
 from seriesloom.sources import files
+from seriesloom.vocab import HYPOTHETICAL
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -88,7 +89,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_p25_hypothetical", "SELECT p_partkey, p_partkey % 4 = 0 AS hypothetical FROM part")
 def p25(spark: SparkSession, d: str) -> DataFrame:
-    mark = F.exists(F.map_entries("members"), lambda e: F.concat(e["key"], F.lit(" "), e["value"]).rlike("Forecast|Scenario|ProForma|Restatement"))
+    mark = F.exists(F.map_entries("members"), lambda e: F.concat(e["key"], F.lit(" "), e["value"]).rlike(HYPOTHETICAL))
     return _members(spark, d).select("p_partkey", mark.alias("hypothetical"))
 
 
