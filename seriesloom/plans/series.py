@@ -319,8 +319,17 @@ def c40(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {CELLS}, x AS (SELECT series, value, q - min(q) OVER (PARTITION BY series) AS n FROM cells) SELECT series, " + ", ".join(f"max(value) FILTER (n = {n}) AS y{n // 4 + 1}q{n % 4 + 1}" for n in range(12)) + " FROM x GROUP BY 1",
 )
 def b10(spark: SparkSession, d: str) -> DataFrame:
-    x = cells(spark, d).select("series", "value", (F.col("q") - F.min("q").over(Window.partitionBy("series"))).alias("n"))
-    return x.groupBy("series").agg(*[F.max(F.when(F.col("n") == n, F.col("value"))).alias(f"y{n // 4 + 1}q{n % 4 + 1}") for n in range(12)])
+    """Every cell by its offset from the launch, in long form, so that no history is too long.
+
+    The anchor is the stated launch quarter, else the product's first reported quarter; ``stated`` says which. The
+    statement above keeps offsets under twelve from the series' own first quarter and is not equal to this.
+    """
+    c = cells(spark, d).withColumn("key", F.coalesce("product", "series", F.lit("")))  # a series without a product stands for itself
+    stated = launches(spark, d).select(F.col("product").alias("key"), (F.year("launch_date") * 4 + F.quarter("launch_date") - 1).alias("launch"))
+    anchors = c.groupBy("key").agg(F.min("q").alias("first")).join(stated, "key", "left")
+    x = c.join(anchors, "key").withColumn("n", F.col("q") - F.coalesce("launch", "first"))
+    label = F.concat(F.lit("Year "), (F.floor(F.col("n") / 4) + 1).cast("string"), F.lit(" Q"), (F.pmod("n", F.lit(4)) + 1).cast("string"))
+    return x.select("series", "n", label.alias("launch_column"), F.col("launch").isNotNull().alias("stated"), "value")
 
 
 @query("q_b09_quarter_matrix", f"WITH {CELLS} SELECT series, " + ", ".join(f"max(value) FILTER (q = {2019 * 4 + n}) AS q{2019 + n // 4}_{n % 4 + 1}" for n in range(8)) + " FROM cells GROUP BY 1")

@@ -1,5 +1,7 @@
 """Queries that once answered for a part of their input: literal rows outside that part."""
 
+from datetime import date
+
 from seriesloom.plans import series
 
 
@@ -8,3 +10,16 @@ def test_quarter_matrix_holds_every_quarter(spark, monkeypatch):
     monkeypatch.setattr(series, "cells", lambda spark, d: spark.createDataFrame(rows, "series string, q int, value double"))
     got = {(r.series, r.quarter): r.value for r in series.b09(spark, "").collect()}
     assert got == {("s", "2008Q1"): 1.0, ("s", "2019Q3"): 2.0, ("s", "2024Q4"): 3.0, ("old", "2011Q2"): 4.0}
+
+
+def test_launch_alignment_holds_every_offset(spark, monkeypatch):
+    q = 2008 * 4
+    rows = [("s", "P", q + 2, 1.0), ("s", "P", q + 67, 2.0), ("t", "U", q + 5, 3.0), ("u", "U", q + 3, 4.0), ("v", "V", q + 1, 5.0), ("w", None, q + 4, 6.0), ("w", None, q + 5, 7.0)]
+    monkeypatch.setattr(series, "cells", lambda spark, d: spark.createDataFrame(rows, "series string, product string, q int, value double"))
+    stated = [("P", date(2008, 1, 1)), ("U", None), ("V", date(2008, 7, 1))]
+    monkeypatch.setattr(series, "launches", lambda spark, d: spark.createDataFrame(stated, "product string, launch_date date"))
+    got = sorted((r.series, r.n, r.launch_column, r.stated, r.value) for r in series.b10(spark, "").collect())
+    assert got == [
+        ("s", 2, "Year 1 Q3", True, 1.0), ("s", 67, "Year 17 Q4", True, 2.0), ("t", 2, "Year 1 Q3", False, 3.0), ("u", 0, "Year 1 Q1", False, 4.0), ("v", -1, "Year 0 Q4", True, 5.0),
+        ("w", 0, "Year 1 Q1", False, 6.0), ("w", 1, "Year 1 Q2", False, 7.0),
+    ]
