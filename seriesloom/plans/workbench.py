@@ -536,11 +536,15 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_j15_target_pairs", f"WITH {JOB}, p AS (SELECT id, {_KEY} AS key, indication FROM jobs WHERE indication IS NOT NULL), t AS (SELECT * FROM p WHERE substr(id, 1, 1) = '0') SELECT t.id AS target, count(*) AS candidates FROM t JOIN p USING (indication) WHERE t.key <> p.key GROUP BY 1")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of each stated target: an equi-join on the indication, not a product of the tables."""
-    p = jobs(spark, d).filter("indication is not null").select("id", analog_key(c("drug_name")).alias("key"), "indication")
-    t = p.filter(F.substring("id", 1, 1) == "0").select(c("id").alias("target"), c("key").alias("own"), "indication")
-    n = p.groupBy("indication", "key").agg(F.count("*").alias("n"))
-    return t.join(n, "indication").filter("own != key").groupBy("target").agg(F.sum("n").alias("candidates"))
+    """Candidates of every job with an indication: the indication's jobs less those of its own key, so no pairs are formed.
+
+    The statement above takes only targets whose id begins with 0 and is not equal to this.
+    """
+    p = jobs(spark, d).select("id", analog_key(c("drug_name")).alias("key"), "indication").filter("indication is not null and key is not null")
+    n = p.groupBy("indication", "key").agg(F.count("*").alias("own"))
+    of = n.groupBy("indication").agg(F.sum("own").alias("all"))
+    t = p.join(n, ["indication", "key"]).join(of, "indication").filter("all > own")
+    return t.select(c("id").alias("target"), (F.col("all") - F.col("own")).alias("candidates"))
 
 
 @query("q_x09_formulations", f"WITH {JOB} SELECT id, list_sort(list_distinct(list_filter(list_transform(string_split('Nasal;nasal; XR ;' || coalesce(generic_name, ''), ';'), lambda x: trim(lower(x))), lambda x: x <> ''))) AS forms FROM jobs")

@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from seriesloom.plans import series
+from seriesloom.plans import series, workbench
 
 
 def test_quarter_matrix_holds_every_quarter(spark, monkeypatch):
@@ -23,3 +23,9 @@ def test_launch_alignment_holds_every_offset(spark, monkeypatch):
         ("s", 2, "Year 1 Q3", True, 1.0), ("s", 67, "Year 17 Q4", True, 2.0), ("t", 2, "Year 1 Q3", False, 3.0), ("u", 0, "Year 1 Q1", False, 4.0), ("v", -1, "Year 0 Q4", True, 5.0),
         ("w", 0, "Year 1 Q1", False, 6.0), ("w", 1, "Year 1 Q2", False, 7.0),
     ]
+
+
+def test_every_job_is_a_target(spark, monkeypatch):
+    rows = [("01", "A", "x"), ("91", "a ", "x"), ("a2", "B", "x"), ("f3", "C", "x"), ("f4", None, "x"), ("b5", "D", "y"), ("c6", "E", None)]
+    monkeypatch.setattr(workbench, "jobs", lambda spark, d: spark.createDataFrame(rows, "id string, drug_name string, indication string"))
+    assert {r.target: r.candidates for r in workbench.j15(spark, "").collect()} == {"01": 2, "91": 2, "a2": 3, "f3": 3}
