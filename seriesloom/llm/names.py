@@ -268,7 +268,7 @@ def product_classes(drug_jobs: DataFrame, datapoints: DataFrame) -> DataFrame:
     # a stem of few letters is within two edits of too many others
     near = radius_join(nodes, "core", 2).filter((F.least(F.length("a"), F.length("b")) >= SHORT) | (F.col("d") <= 1))
     cut = nodes.select("node", "core", "form", "generic", F.explode(F.sequence(F.lit(5), F.greatest(F.length("core") - 2, F.lit(5)))).alias("n"))
-    cut = cut.filter("n <= length(core) - 2").select(F.substring("core", 1, 20).alias("b"), F.expr("substring(core, 1, n)").alias("a"), F.lit(1).alias("d")).distinct()
+    cut = cut.filter("n <= length(core) - 2").select(F.col("core").alias("b"), F.expr("substring(core, 1, n)").alias("a"), F.lit(1).alias("d")).distinct()
     stems = cut.join(nodes.select(F.col("core").alias("a")).distinct(), "a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
     close = near.unionByName(stems).groupBy("a", "b").agg(F.min("d").alias("d"))
 
