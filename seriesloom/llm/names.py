@@ -314,6 +314,11 @@ def _other_syllable(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
 # --- companies ---------------------------------------------------------------------------------
 
 
+def _mirrored(pairs: DataFrame) -> DataFrame:
+    """A radius join's pairs in both orders."""
+    return pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+
+
 def company_classes(drug_jobs: DataFrame) -> DataFrame:
     """(name, class) of every manufacturer string.
 
@@ -338,7 +343,7 @@ def company_classes(drug_jobs: DataFrame) -> DataFrame:
     both = full.select("node", F.explode(F.array_distinct(F.array("core", turned))).alias("c"))
     near = radius_join(both, "c", 2)
     same = both.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(0).alias("d")).distinct()
-    sides = near.unionByName(same)
+    sides = _mirrored(near).unionByName(same)
     info = lambda x: full.select("node", "field", "ticker", "names").select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "field", "ticker", "names")])
     j = sides.join(both.select(F.col("c").alias("a"), F.col("node").alias("node_x")), "a").join(both.select(F.col("c").alias("b"), F.col("node").alias("node_y")), "b")
     j = j.filter("node_x != node_y").groupBy("node_x", "node_y").agg(F.min("d").alias("d")).join(info("x"), "node_x").join(info("y"), "node_y")
@@ -355,8 +360,7 @@ def company_classes(drug_jobs: DataFrame) -> DataFrame:
     words = known.select("class", "field", "ticker", "names", F.explode("names").alias("word"))
     typed = part.select("node", "field", "ticker", "initial", F.col("names")[F.size("names") - 1].alias("word"))
     close = radius_join(words.select("word").unionByName(typed.select("word")), "word", 1)
-    close = close.select("a", "b", "d").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    close = close.unionByName(words.select("word").unionByName(typed.select("word")).distinct().select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(0).alias("d")))
+    close = _mirrored(close).unionByName(words.select("word").unionByName(typed.select("word")).distinct().select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(0).alias("d")))
     hits = typed.select(*[F.col(c).alias(f"p_{c}") for c in typed.columns]).join(close, F.col("p_word") == F.col("a")).join(words, F.col("b") == F.col("word"))
     first = F.exists("names", lambda n: (n != F.col("word")) & n.startswith(F.col("p_initial")))
     fits = ((F.col("p_field") == "") | (F.col("field") == "") | (F.col("p_field") == F.col("field"))) & ((F.col("p_initial") == "") | first)

@@ -18,3 +18,16 @@ def test_a_long_core_keeps_its_abbreviations(spark):
     jobs = [("1", whole, "bifubozumab", None, None), ("2", whole[:9], "bifubozumab", None, None), ("3", whole[:20], "tiporanib", None, None)]
     got = classes(names.product_classes(spark.createDataFrame(jobs, JOB), spark.createDataFrame([], POINT)))
     assert got == {frozenset({whole, whole[:9]}), frozenset({whole[:20]})}
+
+
+def companies(spark, typed):
+    return classes(names.company_classes(spark.createDataFrame([(str(i), None, None, m, t) for i, (m, t) in enumerate(typed)], JOB)))
+
+
+def test_a_fieldless_slip_links_from_either_side(spark):
+    # cores tibohumuro and tibohumura, then tibohumuro and tibohumurz: the slip sorts before and after the name
+    for slip in ("Tibo Humura", "Tibo Humurz"):
+        assert companies(spark, [("Tibo Humuro Biologics", None), (slip, None)]) == {frozenset({"Tibo Humuro Biologics", slip})}
+    # candidates of two fields, one sorting before and one after the slip, are no answer
+    got = companies(spark, [("Tibo Humuro Biologics", None), ("Tibo Humurs", None), ("Tibo Humurz Oncology", None)])
+    assert frozenset({"Tibo Humurs"}) in got
