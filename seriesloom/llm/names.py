@@ -319,13 +319,25 @@ def _mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
+def _by_field(j: DataFrame) -> DataFrame:
+    """(a, b): the links among candidate pairs, which come in both orders, that fields and tickers allow."""
+    veto = F.coalesce(F.col("ticker_x") != F.col("ticker_y"), F.lit(False)) & (F.col("d") > 0)
+    agreed = j.filter((F.col("field_x") == F.col("field_y")) & (F.col("field_x") != "") & ~veto).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    # no field: only where all candidates state one field
+    bare = j.filter((F.col("field_x") == "") & ~veto).groupBy("node_x").agg(F.count_distinct(F.when(F.col("field_y") != "", F.col("field_y"))).alias("k"), F.min(F.struct(F.col("d"), F.col("node_y"))).alias("m"))
+    bare = bare.filter("k <= 1").select(F.col("node_x").alias("a"), F.col("m.node_y").alias("b"))
+    return agreed.unionByName(bare)
+
+
 def company_classes(drug_jobs: DataFrame) -> DataFrame:
-    """(name, class) of every manufacturer string.
+    """(name, class) of every manufacturer string that holds a proper name.
 
     Proper names may be reordered, joined, mistyped (two edits), or cut to an
     initial or to one name; legal forms count for nothing; fields of business
     must agree where both are stated. A string without a field or with one name
     only links where exactly one company answers. Tickers that differ veto.
+    Where none answers, strings of one name are companies of their own, linked
+    among themselves within one edit; where several do, a string stands alone.
     """
     rows = drug_jobs.select(F.col("manufacturer").alias("name"), F.upper(F.trim("ticker")).alias("ticker")).filter("name is not null")
     seen = rows.groupBy("name", "ticker").count()
@@ -348,17 +360,12 @@ def company_classes(drug_jobs: DataFrame) -> DataFrame:
     j = sides.join(both.select(F.col("c").alias("a"), F.col("node").alias("node_x")), "a").join(both.select(F.col("c").alias("b"), F.col("node").alias("node_y")), "b")
     j = j.filter("node_x != node_y").groupBy("node_x", "node_y").agg(F.min("d").alias("d")).join(info("x"), "node_x").join(info("y"), "node_y")
     j = cut_lineage(j.select("node_x", "node_y", "d", "field_x", "field_y", "ticker_x", "ticker_y"))
-    veto = F.coalesce(F.col("ticker_x") != F.col("ticker_y"), F.lit(False)) & (F.col("d") > 0)
-    agreed = j.filter((F.col("field_x") == F.col("field_y")) & (F.col("field_x") != "") & ~veto).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    # no field: only where all candidates state one field
-    bare = j.filter((F.col("field_x") == "") & ~veto).groupBy("node_x").agg(F.count_distinct(F.when(F.col("field_y") != "", F.col("field_y"))).alias("k"), F.min(F.struct(F.col("d"), F.col("node_y"))).alias("m"))
-    bare = bare.filter("k <= 1").select(F.col("node_x").alias("a"), F.col("m.node_y").alias("b"))
-    joined = components(agreed.unionByName(bare), full.select("node"))
+    joined = components(_by_field(j), full.select("node"))
 
     # one name, with or without an initial: by each proper name within one edit
     known = full.join(joined, "node").select("class", "field", "ticker", "names")
     words = known.select("class", "field", "ticker", "names", F.explode("names").alias("word"))
-    typed = part.select("node", "field", "ticker", "initial", F.col("names")[F.size("names") - 1].alias("word"))
+    typed = part.select("node", "field", "ticker", "initial", F.col("names")[F.size("names") - 1].alias("word"), (F.size("names") == 1).alias("single"))
     close = radius_join(words.select("word").unionByName(typed.select("word")), "word", 1)
     close = _mirrored(close).unionByName(words.select("word").unionByName(typed.select("word")).distinct().select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(0).alias("d")))
     hits = typed.select(*[F.col(c).alias(f"p_{c}") for c in typed.columns]).join(close, F.col("p_word") == F.col("a")).join(words, F.col("b") == F.col("word"))
@@ -369,8 +376,16 @@ def company_classes(drug_jobs: DataFrame) -> DataFrame:
     nearest = hits.groupBy("p_node").agg(F.min("d").alias("d"))
     hits = hits.join(nearest, ["p_node", "d"])
     one = hits.groupBy("p_node").agg(F.count("*").alias("k"), F.min("class").alias("class")).filter("k = 1").select(F.col("p_node").alias("node"), "class")
-    classes = joined.unionByName(one)
-    return parsed.select("name", "node").join(classes, "node").select("name", "class")
+
+    # no company answers: one-name nodes among themselves; several answer: each string by itself
+    alone = cut_lineage(typed.join(hits.select(F.col("p_node").alias("node")).distinct(), "node", "left_anti"))
+    end = lambda x: alone.filter("single").select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "field", "ticker", "initial", "word")])
+    k = end("x").join(close, F.col("word_x") == F.col("a")).join(end("y"), (F.col("b") == F.col("word_y")) & (F.col("initial_x") == F.col("initial_y")))
+    k = k.filter((F.col("node_x") != F.col("node_y")) & F.coalesce(F.col("ticker_x") == F.col("ticker_y"), F.lit(True)))
+    own = components(_by_field(k), alone.select("node"))
+    classes = joined.unionByName(one).unionByName(own)
+    lone = F.concat_ws("|", "node", "name")
+    return parsed.select("name", "node").join(classes, "node", "left").select("name", F.coalesce("class", lone).alias("class"))
 
 
 def variant_pairs(classes: DataFrame, kind: str) -> DataFrame:

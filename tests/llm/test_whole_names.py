@@ -31,3 +31,12 @@ def test_a_fieldless_slip_links_from_either_side(spark):
     # candidates of two fields, one sorting before and one after the slip, are no answer
     got = companies(spark, [("Tibo Humuro Biologics", None), ("Tibo Humurs", None), ("Tibo Humurz Oncology", None)])
     assert frozenset({"Tibo Humurs"}) in got
+
+
+def test_one_name_companies_have_classes(spark):
+    typed = [("Acme Inc.", None), ("ACME", None), ("Acmee Ltd", None), ("Zorbit Oncology", None), ("Zorbit Onc. AG", None), ("Zorbit Biologics", None), ("Zorbit", None), ("Q. Velmar", None), ("Q. Velmar Inc.", None)]
+    typed += [("Kolvex", "KV"), ("Kolvexx", "KX")]  # tickers veto
+    typed += [("Saje Pomazo Oncology", None), ("Saje Pomazo Biologics", None), ("Pomazo", None), ("Pomazo Inc.", None)]  # two companies answer
+    want = [{"Acme Inc.", "ACME", "Acmee Ltd"}, {"Zorbit Oncology", "Zorbit Onc. AG"}, {"Zorbit Biologics"}, {"Zorbit"}, {"Q. Velmar", "Q. Velmar Inc."}, {"Kolvex"}, {"Kolvexx"}]
+    want += [{"Saje Pomazo Oncology"}, {"Saje Pomazo Biologics"}, {"Pomazo"}, {"Pomazo Inc."}]
+    assert companies(spark, typed) == {frozenset(x) for x in want}
