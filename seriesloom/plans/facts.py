@@ -167,7 +167,7 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_c30_calculation_roots", "SELECT s_suppkey, unnest(['co:Revenue', 'co:Cost', 'co:Sales']) AS element, 'co:Net' AS root, unnest([1, -1, 1]) AS sign FROM supplier")
 def c30(spark: SparkSession, d: str) -> DataFrame:
-    return markup.calculation_roots(s17(spark, d), "s_suppkey", depth=4)
+    return markup.calculation_roots(s17(spark, d), "s_suppkey")
 
 
 @query("q_c30_product_facts", "SELECT s_suppkey, s_suppkey * 100000.0::DOUBLE AS value FROM supplier")

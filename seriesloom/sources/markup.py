@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.session import cut_lineage
+
 ROW_LIMIT = 200  # rows of a table that are read; the format's own limit
 
 
@@ -182,14 +184,23 @@ def calculation_arcs(documents: DataFrame, key: str, xml: str) -> DataFrame:
     return documents.select(F.col(key).alias("k"), F.col(xml).alias("x")).mapInPandas(run, f"{key} {dtype}, parent string, child string, weight int")
 
 
-def calculation_roots(arcs: DataFrame, key: str, depth: int = 12) -> DataFrame:
+def calculation_roots(arcs: DataFrame, key: str, depth: int | None = None) -> DataFrame:
     """(key, element, root, sign): the tops each element rolls up to and whether a negative arc lies on the way.
 
-    Linkbases are small graphs; the climb is a bounded number of joins on the
-    document and element, so a cycle ends with it.
+    The climb goes on until no element reaches anything new, so a cycle ends
+    with it; a stated ``depth`` bounds it. An element whose every way ends in
+    a cycle has no top: its root is null.
     """
-    up = arcs.select(key, F.col("child").alias("at"), F.col("parent").alias("next"), "weight").distinct()
-    now = arcs.select(key, F.col("child").alias("element"), F.col("child").alias("at")).distinct().withColumn("sign", F.lit(1))
-    for _ in range(depth):
-        now = now.join(up, [key, "at"], "left").select(key, "element", F.coalesce("next", "at").alias("at"), F.least(F.col("sign"), F.coalesce("weight", F.lit(1))).alias("sign")).distinct()
-    return now.groupBy(key, "element", F.col("at").alias("root")).agg(F.min("sign").alias("sign"))
+    up = cut_lineage(arcs.select(key, F.col("child").alias("at"), F.col("parent").alias("next"), "weight").distinct())
+    new = reached = up.select(key, F.col("at").alias("element"), "at").distinct().withColumn("sign", F.lit(1))
+    rounds = 0
+    while depth is None or rounds < depth:
+        step = new.join(up, [key, "at"]).select(key, "element", F.col("next").alias("at"), F.least(F.col("sign"), F.coalesce("weight", F.lit(1))).alias("sign")).distinct()
+        new = cut_lineage(step.join(reached, [key, "element", "at", "sign"], "left_anti"))
+        if new.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(new))
+        rounds += 1
+    tops = reached.join(up.select(key, "at").distinct(), [key, "at"], "left_anti").groupBy(key, "element", F.col("at").alias("root")).agg(F.min("sign").alias("sign"))
+    topless = reached.join(tops, [key, "element"], "left_anti").groupBy(key, "element").agg(F.min("sign").alias("sign"))
+    return tops.unionByName(topless.select(key, "element", F.lit(None).cast("string").alias("root"), "sign"))

@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from seriesloom.plans import series, workbench
+from seriesloom.plans import facts, series, workbench
 
 
 def test_quarter_matrix_holds_every_quarter(spark, monkeypatch):
@@ -29,3 +29,13 @@ def test_every_job_is_a_target(spark, monkeypatch):
     rows = [("01", "A", "x"), ("91", "a ", "x"), ("a2", "B", "x"), ("f3", "C", "x"), ("f4", None, "x"), ("b5", "D", "y"), ("c6", "E", None)]
     monkeypatch.setattr(workbench, "jobs", lambda spark, d: spark.createDataFrame(rows, "id string, drug_name string, indication string"))
     assert {r.target: r.candidates for r in workbench.j15(spark, "").collect()} == {"01": 2, "91": 2, "a2": 3, "f3": 3}
+
+
+def test_roots_are_climbed_to_the_end(spark, monkeypatch):
+    chain = [(1, f"e{i}", f"e{i + 1}", -1 if i == 0 else 1) for i in range(15)]  # e0 is the top, its arc the negative one
+    loop = [(2, "A", "B", 1), (2, "B", "A", 1), (2, "T", "C", 1), (2, "C", "D", 1), (2, "D", "C", -1)]
+    arcs = "s_suppkey int, parent string, child string, weight int"
+    monkeypatch.setattr(facts, "s17", lambda spark, d: spark.createDataFrame(chain + loop, arcs))
+    got = {(r.s_suppkey, r.element, r.root, r.sign) for r in facts.c30(spark, "").collect()}
+    want = {(1, f"e{i}", "e0", -1) for i in range(1, 16)} | {(2, "A", None, 1), (2, "B", None, 1), (2, "C", "T", -1), (2, "D", "T", -1)}
+    assert got == want
