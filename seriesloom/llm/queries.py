@@ -36,8 +36,9 @@ def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that have to be split."""
-    return packing.pack_documents(table(spark, d, "documents")).filter("pieces > 1 and piece = 1").select("doc_id")
+    """Documents that have to be split: those whose pieces lie in more than one container."""
+    packed = packing.pack_documents(table(spark, d, "documents"))
+    return packed.groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b")).filter("a < b").select("doc_id")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -55,16 +56,24 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.sharing_pairs(spans.shared_windows(table(spark, d, "documents"), positions=False))
+    return spans.sharing_pairs(spans.shared_windows(table(spark, d, "documents")))
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents share some stretch with the same set of documents: one row per class and member."""
+    return spans.sharing_classes(spans.shared_windows(table(spark, d, "documents"))).select(F.col("class").alias("class_id"), F.col("n").alias("n_members"), F.col("doc").alias("doc_id"))
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Each document with shared stretches: how many, how much of it they cover, and its longest level."""
-    documents = table(spark, d, "documents")
-    runs = spans.stretches(spans.shared_windows(documents)).groupBy(F.col("doc").alias("doc_id"))
+    """Each document with shared stretches: how many, how much of it they cover, and the longest.
+
+    The texts of one ``doc_id`` count together, repeated ones once.
+    """
+    shared = spans.shared_windows(table(spark, d, "documents"))
+    runs = spans.stretches(shared).groupBy("doc")
     runs = runs.agg(F.count("*").alias("n_stretches"), F.sum(F.col("end") - F.col("begin")).alias("shared_chars"), F.max(F.col("end") - F.col("begin")).alias("longest"))
-    sized = documents.select("doc_id", F.length("text").alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
-    return runs.join(sized, "doc_id").withColumn("share", F.col("shared_chars") / F.col("n_chars"))
+    sized = spans.texts_of(table(spark, d, "documents"), 0).groupBy("doc", "ver").agg(F.max(F.length("text")).alias("n")).groupBy("doc").agg(F.sum("n").alias("n_chars"))
+    return runs.join(sized, "doc").withColumn("share", F.col("shared_chars") / F.col("n_chars")).withColumnRenamed("doc", "doc_id")
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -72,4 +81,4 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     return spans.levels(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_survivors, p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_documents, p10_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_survivors, p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_classes, p10_documents, p10_levels)}

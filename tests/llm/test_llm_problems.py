@@ -78,7 +78,7 @@ def shared_docs():
 @pytest.mark.parametrize("length", [320, 64])
 def test_shared_spans_against_brute_force(spark, shared_docs, length):
     df = spark.createDataFrame(shared_docs + shared_docs[3:5], DOC).withColumn("h", F.lit(1)).withColumn("pos", F.lit("clash"))
-    got = {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(spans.shared_windows(df, length, positions=False)).collect()}
+    got = {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(spans.shared_windows(df, length)).collect()}
     assert got == brute_pairs(shared_docs, length)
 
 
@@ -99,14 +99,45 @@ def test_levels_end_and_empty_tables(spark, shared_docs):
     assert spans.sharing_pairs(spans.shared_windows(spark.createDataFrame([], DOC))).count() == 0
 
 
-def test_a_notice_in_very_many_records_is_handled_apart(spark, monkeypatch):
-    monkeypatch.setattr(spans, "HOT", 5)
+@pytest.mark.parametrize("block", [2000, 4])
+def test_a_notice_in_many_records(spark, monkeypatch, block):
+    monkeypatch.setattr(spans, "PAIR_BLOCK", block)
     rng = random.Random(7)
     notice = prose(rng, 45)
     docs = [(i, prose(rng, 10) + notice + prose(rng, 10)) for i in range(15)] + [(20 + i, prose(rng, 60)) for i in range(5)]
-    docs += [(30, docs[16][1]), (31, docs[17][1])]
-    got = {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(spans.shared_windows(spark.createDataFrame(docs, DOC), positions=False)).collect()}
-    assert got == brute_pairs(docs, 320)
+    docs += [(30, docs[16][1]), (31, docs[17][1]), (32, "x" + notice[9:]), (33, notice[:350])]
+    got = spans.sharing_pairs(spans.shared_windows(spark.createDataFrame(docs, DOC))).collect()
+    assert {(r.doc_a, r.doc_b) for r in got} == brute_pairs(docs, 320) and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_different_texts_of_one_record(spark, order):
+    rng = random.Random(8)
+    one, two, three = prose(rng, 60), prose(rng, 140), prose(rng, 50)
+    docs = [(1, one[:500]), (1, two), (2, "head " + one[:450]), (3, three), (4, "head " + two[700:1200]), (4, three + one[:400]), (5, two[:900] + two[:900]), (None, two), (6, None), (6, three[:400])][::order]
+    df = spark.createDataFrame(docs, DOC)
+    keyed = [(k, t) for k, t in docs if k is not None]
+    got = {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(spans.shared_windows(df)).collect()}
+    assert got == brute_pairs(keyed, 320) and (1, 4) in got and (3, 6) in got
+    parts = {}
+    for r in spans.stretches(spans.shared_windows(df)).collect():
+        parts.setdefault((r.doc, r.ver), []).append((r.begin, r.end))
+    shared = sorted((k[0], sum(e - b for b, e in v)) for k, v in parts.items())
+    want = []
+    for k, t in keyed:
+        held = [i for i in range(len(t or "") - 319) if any(t[i : i + 320] in (u or "") for m, u in keyed if m != k)]
+        if held:
+            want.append((k, len({x for i in held for x in range(i, i + 320)})))
+    assert shared == sorted(want)
+
+
+def test_classes_hold_every_link(spark, shared_docs):
+    rows = spans.sharing_classes(spans.shared_windows(spark.createDataFrame(shared_docs, DOC))).collect()
+    members = {}
+    for r in rows:
+        members.setdefault((r["class"], r.n), set()).add(r.doc)
+    assert all(len(v) == n for (_, n), v in members.items()) and len(set(map(frozenset, members.values()))) == len(members)
+    assert {p for v in members.values() for p in combinations(sorted(v), 2)} == brute_pairs(shared_docs, 320)
 
 
 # --- problem 9 ---------------------------------------------------------------------------------
