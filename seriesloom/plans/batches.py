@@ -89,7 +89,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_p25_hypothetical", "SELECT p_partkey, p_partkey % 4 = 0 AS hypothetical FROM part")
 def p25(spark: SparkSession, d: str) -> DataFrame:
-    mark = F.exists(F.map_entries("members"), lambda e: F.concat(e["key"], F.lit(" "), e["value"]).rlike(HYPOTHETICAL))
+    mark = F.exists(F.map_entries("members"), lambda e: F.concat(e["key"], F.lit(" "), e["value"]).rlike("|".join(HYPOTHETICAL)))
     return _members(spark, d).select("p_partkey", mark.alias("hypothetical"))
 
 

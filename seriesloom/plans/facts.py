@@ -174,7 +174,7 @@ def c30(spark: SparkSession, d: str) -> DataFrame:
 def c30p(spark: SparkSession, d: str) -> DataFrame:
     """Per member, period and span the least qualified facts, hypothetical ones left out."""
     f = markup.tagged_facts(instances(spark, d), "s_suppkey", "xml").withColumn("member", F.try_element_at("members", F.lit("srt:ProductOrServiceAxis"))).withColumn("n", F.size("members"))
-    marks = F.exists(F.map_entries("members"), lambda e: F.concat(e["key"], e["value"]).rlike(HYPOTHETICAL))
+    marks = F.exists(F.map_entries("members"), lambda e: F.concat(e["key"], e["value"]).rlike("|".join(HYPOTHETICAL)))
     f = f.filter(c("member").isNotNull() & ~marks).withColumn("period", fact_period(c("start"), c("end")))
     least = f.groupBy("s_suppkey", "member", "period").agg(F.min("n").alias("n"))
     return f.join(least, ["s_suppkey", "member", "period", "n"]).select("s_suppkey", "value")

@@ -254,8 +254,8 @@ over("q_t08_claim_rank", readings, "id", lambda: R.claim_rank(c("status")), DPQ,
 over("q_t11_scope_rank", observations, "id", lambda: F.when(c("revenue_scope").isin("Product family", "Worldwide"), 0).when(c("revenue_scope") == "U.S.", 3).when(c("revenue_scope") == "ex-U.S.", 4).otherwise(99), OBQ, "CASE revenue_scope WHEN 'Worldwide' THEN 0 WHEN 'Product family' THEN 0 WHEN 'U.S.' THEN 3 WHEN 'ex-U.S.' THEN 4 ELSE 99 END")
 over("q_p01_product_scopes", observations, "id", lambda: c("revenue_scope").isin("Product family", "Formulation-specific", "U.S.", "Worldwide"), OBQ, "revenue_scope IN ('Product family', 'Formulation-specific', 'U.S.', 'Worldwide')")
 over("q_p10_quote_mentions_product", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: text.mentions(c("quote"), F.array("product")), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote IS NOT NULL", f"contains(lower({_ws('quote')}), lower(product)) OR contains(lower({_ws('quote')}), lower({_ws('product')}))")
-over("q_p14_dosage_not_revenue", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: c("quote").rlike(DOSE_CONTEXT) & ~c("quote").rlike(MONEY_CONTEXT), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote IS NOT NULL", "regexp_matches(quote, '(?i)\\d\\s*(?:mcg|mg|g|ml|%)\\b') AND NOT regexp_matches(quote, '(?i)[$€£]|\\b(?:usd|chf|eur|sales?|revenue|million|billion)\\b')")
-over("q_p15_noise_quote", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: c("quote").rlike(TAXONOMY_MEMBER) | (F.trim("quote").rlike(TAXONOMY_NAME) & c("quote").contains(":") & (F.length("quote") < 80)), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote IS NOT NULL", "regexp_matches(quote, '\\b\\w+:\\w+Member\\b') OR (regexp_matches(trim(quote), '^[\\w:.\\-]+$') AND contains(quote, ':') AND length(quote) < 80)")
+over("q_p14_dosage_not_revenue", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: c("quote").rlike(DOSE_CONTEXT) & ~c("quote").rlike(MONEY_CONTEXT), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote IS NOT NULL", f"regexp_matches(quote, '{DOSE_CONTEXT}') AND NOT regexp_matches(quote, '{MONEY_CONTEXT}')")
+over("q_p15_noise_quote", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: c("quote").rlike(TAXONOMY_MEMBER) | (F.trim("quote").rlike(TAXONOMY_NAME) & c("quote").contains(":")), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote IS NOT NULL", f"regexp_matches(quote, '{TAXONOMY_MEMBER}') OR (regexp_matches(trim(quote), '{TAXONOMY_NAME}') AND contains(quote, ':'))")
 over("q_p17_quote_contains_value", lambda s, d: readings(s, d).filter("quote is not null and reported is not null"), "id", lambda: text.quote_contains(c("quote"), c("reported")), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote IS NOT NULL AND reported IS NOT NULL",
      "contains(replace(quote, ',', ''), regexp_replace(regexp_replace(printf('%.10f', reported), '0+$', ''), '\\.$', '')) OR contains(replace(quote, ',', ''), printf('%.1f', reported)) OR contains(replace(quote, ',', ''), printf('%.0f', reported))")
 over("q_a06_segments_to_members", lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.lit("Brand="), "p_brand", F.lit("; Type="), "p_type", F.lit(";;")).alias("s")), "p_partkey", lambda: F.array_sort(F.map_values(text.segments_map(c("s")))), "SELECT {sel} FROM part", "list_sort([p_brand, p_type])", alias="members")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import text as X
 from seriesloom.functions.periods import loose_date, period_label, quarter_index
 from seriesloom.operators import prose
+from seriesloom.plans.problem_sql import label, qidx
 from seriesloom.plans.readings import DP, SRC, readings, sources
 from seriesloom.plans.workbench import JOB, jobs
 from seriesloom import vocab as V
@@ -38,50 +39,125 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).join(j, "job_id", "left").withColumn("own", F.array_compact(F.array("drug_name", "generic_name")))
 
 
-# --- labels and sentences: Python readers, checked by unit tests ---------------------------------
+# --- labels and sentences --------------------------------------------------------------------------
 
 
-@query("q_x18_read_label")
+def _t(pattern: str) -> str:
+    """A pattern or text as SQL text."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(_t(v) for v in values) + "]"
+
+
+def _words(x: str) -> str:
+    return f"regexp_extract_all(translate(lower({x}), '{prose.ACCENTS[0]}', '{prose.ACCENTS[1]}'), {_t(prose.LETTER_OR_DIGIT)})"
+
+
+def _squash(x: str) -> str:
+    return f"regexp_replace(translate(lower({x}), '{prose.ACCENTS[0]}', '{prose.ACCENTS[1]}'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _near(a: str, b: str) -> str:
+    return f"(length({a}) >= 5 AND length({b}) >= 5 AND levenshtein({a}, {b}) * 5 <= greatest(length({a}), length({b})))"
+
+
+def _sentences(source: str, text: str) -> str:
+    """A CTE ``sen``: ``source`` with the list ``s`` of the sentences of ``text``."""
+    return (
+        f"ln AS (SELECT *, list_filter(list_transform(regexp_split_to_array({text}, {_t(prose.BREAKS)}), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM {source}), "
+        "st AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = 1 OR regexp_matches(l[i], '\\p{L}')) AS b FROM ln), "
+        f"sen AS (SELECT * EXCLUDE (l, b), flatten(list_transform(range(1, len(b) + 1), lambda k: string_split(regexp_replace(array_to_string(l[b[k]:(CASE WHEN k < len(b) THEN b[k + 1] - 1 ELSE len(l) END)], ' '), {_t(prose.STOP)}, '\\1\n\\2', 'g'), '\n'))) AS s FROM st)"
+    )
+
+
+_LABELLED = f"{DP}, {JOB}, lab AS (SELECT dp.*, list_filter([drug_name, generic_name], lambda x: x IS NOT NULL) AS own, coalesce(combined, []) AS others FROM dp LEFT JOIN jobs ON dp.job_id = jobs.id)"
+_HOLDS = f"({_squash('n')} <> '' AND contains({_squash('product')}, {_squash('n')}))"
+_X18 = (
+    f"WITH {_LABELLED}, h AS (SELECT *, {_words('product')} AS w, coalesce(list_filter(own, lambda n: {_HOLDS})[1], list_filter(own, lambda n: len(list_filter({_words('product')}, lambda x: {_near('x', _squash('n'))})) > 0)[1]) AS matched, list_filter(others, lambda n: {_HOLDS}) AS cmb FROM lab), "
+    f"k AS (SELECT *, list_concat(flatten(list_transform(list_concat(own, cmb), lambda n: {_words('n')})), {_list(prose.PLACE_WORDS + prose.SUM_WORDS + prose.PLAIN_WORDS)}) AS known FROM h), "
+    f"r AS (SELECT *, nullif(array_to_string(list_filter(w, lambda x: NOT list_contains(known, x) AND len(list_filter(own, lambda n: {_near('x', _squash('n'))})) = 0), ' '), '') AS residue FROM k) "
+    "SELECT id, matched, CASE " + " ".join(f"WHEN regexp_matches(lower(product), {_t(p)}) THEN '{place}'" for place, p in prose.PLACES) + f" END AS scope, len(list_intersect(w, {_list(prose.SUM_WORDS)})) > 0 AS is_total, len(cmb) AS others, residue, "
+    "array_to_string(list_filter([CASE WHEN matched IS NOT NULL AND residue IS NOT NULL THEN 'label_not_understood' END, CASE WHEN matched IS NOT NULL AND len(cmb) > 0 THEN 'combined_line' END], lambda x: x IS NOT NULL), ',') AS flags FROM r"
+)
+
+
+@query("q_x18_read_label", _X18)
 def x18(spark: SparkSession, d: str) -> DataFrame:
-    r = labelled(spark, d).select("id", prose.read_label("product", "own", F.coalesce("combined", F.array().cast("array<string>"))).alias("l"))
+    r = labelled(spark, d).select("id", prose.read_label(c("product"), c("own"), c("combined")).alias("l"))
     return r.select("id", "l.matched", "l.scope", "l.is_total", F.size("l.combined").alias("others"), "l.residue", F.array_join("l.flags", ",").alias("flags"))
 
 
-@query("q_x19_read_footnote")
+@query("q_x19_read_footnote", f"WITH {_LABELLED} SELECT id, CASE WHEN regexp_matches(lower(quote), '\\binclud(?:es|ing|ed)\\b|\\btogether with\\b') THEN len(list_filter(others, lambda o: contains(lower(quote), lower(o)))) ELSE 0 END AS includes, "
+       f"regexp_matches(lower(quote), {_t(prose.NO_SALES)}) AS no_sales, regexp_matches(lower(quote), {_t(prose.PART_PERIOD)}) AS partial, len(list_filter(own, lambda a: contains(lower(quote), lower(a)))) > 0 AS names_own FROM lab WHERE quote IS NOT NULL")
 def x19(spark: SparkSession, d: str) -> DataFrame:
-    r = labelled(spark, d).filter("quote is not null").select("id", prose.read_footnote("quote", "own", "combined").alias("n"))
+    r = labelled(spark, d).filter("quote is not null").select("id", prose.read_footnote(c("quote"), c("own"), c("combined")).alias("n"))
     return r.select("id", F.size("n.includes").alias("includes"), "n.no_sales", "n.partial", "n.names_own")
 
 
-@query("q_x26_sentences")
+@query("q_x26_sentences", f"WITH {_sentences('(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)', 'text')} SELECT doc_id, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM sen")
 def x26(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(prose.sentences("text")).alias("place", "sentence"))
+    return docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(prose.sentences(c("text"))).alias("place", "sentence"))
 
 
-@query("q_x27_sentence_carrying")
+_SPELLS = "contains(lower(replace(x, ',', '')), regexp_replace(regexp_replace(printf('%.10f', reported), '0+$', ''), '\\.$', '')) OR contains(replace(x, ',', ''), printf('%.1f', reported)) OR contains(replace(x, ',', ''), printf('%.0f', reported))"
+
+
+@query("q_x27_sentence_carrying", f"WITH {_LABELLED}, {_sentences('(SELECT id, quote, reported FROM lab WHERE quote IS NOT NULL AND reported IS NOT NULL)', 'quote')} SELECT id, list_filter(s, lambda x: {_SPELLS})[1] AS sentence FROM sen")
 def x27(spark: SparkSession, d: str) -> DataFrame:
-    r = labelled(spark, d).filter("quote is not null and reported is not null").withColumn("s", prose.sentences("quote"))
+    r = labelled(spark, d).filter("quote is not null and reported is not null").withColumn("s", prose.sentences(c("quote")))
     v = c("reported")
     return r.select("id", F.try_element_at(F.filter("s", lambda s: X.quote_contains(s, v)), F.lit(1)).alias("sentence"))
 
 
-@query("q_p36_change_not_level")
+def _said(pattern: str) -> str:
+    return f"len(list_filter(regexp_extract_all(text, {_t(pattern)}, 1), lambda t: coalesce(TRY_CAST(replace(t, ',', '') AS DOUBLE) = v, false))) > 0"
+
+
+@query("q_p36_change_not_level", "WITH q AS (SELECT row_id, any_value(source_quote) AS text, any_value(value_reported) AS v FROM quarterly_revenue GROUP BY 1) "
+       f"SELECT row_id, coalesce(regexp_matches(text, {_t(prose.RISE_OR_FALL)}) AND {_said(prose.BY_AMOUNT)} AND NOT {_said(prose.TO_AMOUNT)}, false) AS change FROM q WHERE text IS NOT NULL")
 def p36(spark: SparkSession, d: str) -> DataFrame:
-    return labelled(spark, d).filter("quote is not null").select("id", prose.states_a_change("quote", "reported").alias("change"))
+    q = table(spark, d, "quarterly_revenue").groupBy("row_id").agg(F.max(F.struct("reported_at", "source_quote", "value_reported")).alias("r")).select("row_id", "r.*")
+    return q.filter("source_quote is not null").select("row_id", prose.states_a_change(c("source_quote"), c("value_reported")).alias("change"))
 
 
-@query("q_p13_competing_product")
+_MINE = f"len(list_filter(own, lambda n: contains(p, array_to_string({_words('n')}, ' ')) OR contains(array_to_string({_words('n')}, ' '), p) OR {_near(chr(40) + 'replace(p, chr(32), chr(0)))'.replace('chr(0)', chr(39) * 2), _squash('n'))})) > 0"
+_P13 = (
+    f"WITH {_LABELLED}, pt AS (SELECT id, own, list_transform(others, lambda o: array_to_string({_words('o')}, ' ')) AS sib, list_filter(list_transform(regexp_split_to_array(product, {_t(prose.JOINERS)}), lambda p: array_to_string(list_filter({_words('p')}, lambda w: NOT list_contains({_list(prose.PLAIN_WORDS)}, w)), ' ')), lambda p: p <> '') AS parts FROM lab) "
+    f"SELECT id, list_filter(parts, lambda p: NOT ({_MINE}) AND (len(list_filter(string_split(p, ' '), lambda w: NOT list_contains({_list(prose.GROUP_WORDS)}, w))) = 0 OR len(parts) > 1 OR list_contains(sib, p)))[1] AS other FROM pt"
+)
+
+
+@query("q_p13_competing_product", _P13)
 def p13(spark: SparkSession, d: str) -> DataFrame:
-    return labelled(spark, d).select("id", prose.names_a_competing_product("product", "own", "combined").alias("other"))
+    return labelled(spark, d).select("id", prose.names_a_competing_product(c("product"), c("own"), c("combined")).alias("other"))
+
 
+_BY = _t(rf"(?i)\bby (?:about |some |nearly |almost )?{prose.MONEY}\b")
+_KIND = _t(rf"(?i)^{prose.QUARTER}$")
+_PROSE = (
+    f"{_sentences('(SELECT doc_id, text, drug_name FROM documents WHERE drug_name IS NOT NULL AND text IS NOT NULL)', 'text')}, "
+    "one AS (SELECT doc_id, drug_name, unnest(s) AS x FROM sen), "
+    f"tk AS (SELECT doc_id, x, regexp_extract_all(regexp_replace(x, {_BY}, 'by so much', 'g'), {_t(rf'(?i)\b(?:{prose.QUARTER}|{prose.MONEY})\b')}) AS t FROM one WHERE drug_name <> '' AND contains(lower(x), lower(drug_name)) "
+    f"AND len(list_filter(regexp_extract_all(x, '([\\p{{L}}\\p{{N}}-]+)[®™]', 1), lambda m: NOT contains(lower(drug_name), lower(m)))) = 0 AND NOT regexp_matches(x, {_t(prose.GROUPED)})), "
+    f"kd AS (SELECT *, list_transform(t, lambda y: regexp_matches(y, {_KIND})) AS k FROM tk), "
+    f"pr AS (SELECT doc_id, list_filter(t, lambda y: regexp_matches(y, {_KIND})) AS q, list_filter(t, lambda y: NOT regexp_matches(y, {_KIND})) AS a, regexp_matches(x, {_t(prose.PAIRED)}) OR len(list_filter(range(2, len(t) + 1), lambda i: k[i] = k[i - 1])) = 0 AS ok FROM kd), "
+    "fg AS (SELECT doc_id, unnest(q) AS p, unnest(a) AS m FROM pr WHERE ok AND len(q) > 0 AND len(q) = len(a)), "
+    f"c32 AS (SELECT doc_id, {label('p')} AS period, TRY_CAST(replace(string_split(m, ' ')[1], ',', '') AS DOUBLE) AS value, lower(string_split(m, ' ')[-1]) AS unit FROM fg)"
+)
 
-@query("q_c32_read_prose")
+
+@query("q_c32_read_prose", f"WITH {_PROSE} SELECT doc_id, period, value, unit FROM c32")
 def c32(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d).filter("drug_name is not null").select("doc_id", F.explode(prose.read_prose("text", F.array("drug_name"))).alias("v"))
+    x = docs(spark, d).filter("drug_name is not null").select("doc_id", F.explode(prose.read_prose(c("text"), F.array("drug_name"))).alias("v"))
     return x.select("doc_id", period_label(c("v.period")).alias("period"), "v.value", "v.unit")
 
 
-@query("q_c35_revenue_candidates")
+_SCALE = "CASE unit WHEN 'billion' THEN 1000.0::DOUBLE WHEN 'thousand' THEN 0.001::DOUBLE WHEN 'crore' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+@query("q_c35_revenue_candidates", f"WITH {_PROSE} SELECT doc_id, period, min(v) AS value, count(*) AS n FROM (SELECT doc_id, period, value * {_SCALE} AS v FROM c32) GROUP BY 1, 2 HAVING max(v) - min(v) <= greatest(0.005::DOUBLE * abs(max(v)), 0.05::DOUBLE)")
 def c35(spark: SparkSession, d: str) -> DataFrame:
     """Prose values in millions, one per document and period, contradicting ones rejected."""
     scale = F.when(c("unit") == "billion", 1000.0).when(c("unit") == "thousand", 0.001).when(c("unit") == "crore", 10.0).otherwise(1.0)
@@ -93,14 +169,19 @@ def c35(spark: SparkSession, d: str) -> DataFrame:
 @query("q_t02_evidence_windows")
 def t02(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d).filter("drug_name is not null and text is not null")
-    return x.select("doc_id", F.length(prose.evidence_text("text", F.array("drug_name"))).alias("chars"))
+    return x.select("doc_id", prose.evidence_windows("text", F.array("drug_name")).alias("e")).select("doc_id", F.length("e.passages").alias("chars"), "e.windows", "e.mentions")
+
 
+def _one(pattern: str) -> str:
+    return f"nullif(regexp_extract(x, {_t(pattern)}, 1), '')"
 
-@query("q_x23_parse_indications")
+
+@query("q_x23_parse_indications", f"WITH {_sentences('(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)', 'text')}, one AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM sen), "
+       f"ind AS (SELECT doc_id, i, nullif(trim(regexp_extract(x, {_t(prose.DISEASE)}, 1)), '') AS disease, lower({_one(prose.SETTING)}) AS setting, lower({_one(prose.POPULATION)}) AS population, {_one(prose.MARKER)} AS biomarker FROM one) "
+       "SELECT doc_id, disease, setting, population, biomarker FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(disease) ORDER BY i) AS n FROM ind WHERE disease IS NOT NULL) WHERE n = 1")
 def x23(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("It is indicated for the treatment of adults with metastatic "), "indication", F.lit(". Not for use in children."))
-    x = jobs(spark, d).filter("indication is not null").select("id", F.explode(prose.parse_indications(text)).alias("i"))
-    return x.select("id", "i.*")
+    x = docs(spark, d).filter("text is not null").select("doc_id", F.explode(prose.parse_indications(c("text"))).alias("i"))
+    return x.select("doc_id", "i.*")
 
 
 @query("q_c31_choose_filings")
@@ -151,22 +232,26 @@ def d12(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter("text is not null").select("doc_id", F.size(F.array_compact(found)).cast("long").alias("n"))
 
 
+# Wordings of a line of therapy, each with the treatments that came before.
+LINES = [(2, r"(?i)\b(?:third|later)[- ]line\b|\b(?:two|three|2|3) (?:or more )?(?:prior|previous|earlier) (?:\w+ ){0,2}(?:therap|treatment|line|regimen)"), (1, r"(?i)\bsecond[- ]line\b|\b(?:one|1|a) (?:prior|previous|earlier) (?:\w+ ){0,2}(?:therap|treatment|line|regimen)"), (0, r"(?i)\bfirst[- ]line\b|\buntreated\b|\bnewly diagnosed\b")]
+SOME_EARLIER = r"(?i)\b(?:relapsed|refractory|pretreated|previously treated|restarted|switched from)\b"
+
+
 def line_of_therapy(text):
-    """The class a label's wording states; a first line beside a later one is unresolved."""
-    t = F.lower(X.collapse(F.coalesce(text, F.lit(""))))
-    first = t.rlike(V.FIRST_LINE)
-    third = t.rlike(V.THIRD_LINE_PLUS)
-    second = t.rlike(V.SECOND_LINE_PLUS)
-    later = t.rlike(V.LATER_LINE)
-    return F.when((t == "") | (first & (second | third)), "unresolved").when(third, "third_line_plus").when(second, "second_line_plus").when(first, "first_line").when(later, "subsequent_unspecified").otherwise("all_lines_or_unspecified")
+    """The class a text's wording states, by how many treatments came before; a first line beside a later one is unresolved."""
+    t = F.coalesce(text, F.lit(""))
+    third, second, first = (t.rlike(p) for _, p in LINES)
+    nothing = (F.trim(t) == "") | (first & (second | third))
+    return F.when(nothing, "unresolved").when(third, "third_line_plus").when(second, "second_line_plus").when(first, "first_line").when(t.rlike(SOME_EARLIER), "subsequent_unspecified").otherwise("all_lines_or_unspecified")
 
 
-_LOT = "CASE doc_id % 6 WHEN 0 THEN 'first-line' WHEN 1 THEN 'after one prior therapy' WHEN 2 THEN 'following two prior lines' WHEN 3 THEN 'relapsed disease' WHEN 4 THEN 'first-line or after two prior regimens' ELSE 'disease' END"
+_LOT = [_t(p) for _, p in LINES]
 
 
-@query("q_x21_line_of_therapy", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'first_line' WHEN 1 THEN 'second_line_plus' WHEN 2 THEN 'third_line_plus' WHEN 3 THEN 'subsequent_unspecified' WHEN 4 THEN 'unresolved' ELSE 'all_lines_or_unspecified' END AS lot FROM documents")
+@query("q_x21_line_of_therapy", f"WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents) SELECT doc_id, CASE WHEN trim(x) = '' OR (regexp_matches(x, {_LOT[2]}) AND (regexp_matches(x, {_LOT[1]}) OR regexp_matches(x, {_LOT[0]}))) THEN 'unresolved' WHEN regexp_matches(x, {_LOT[0]}) THEN 'third_line_plus' WHEN regexp_matches(x, {_LOT[1]}) THEN 'second_line_plus' "
+       f"WHEN regexp_matches(x, {_LOT[2]}) THEN 'first_line' WHEN regexp_matches(x, {_t(SOME_EARLIER)}) THEN 'subsequent_unspecified' ELSE 'all_lines_or_unspecified' END AS lot FROM t")
 def x21(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", line_of_therapy(F.expr(_LOT)).alias("lot"))
+    return docs(spark, d).select("doc_id", line_of_therapy(c("text")).alias("lot"))
 
 
 def therapeutic_area(disease):
@@ -292,7 +377,7 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 def drop_reason(quote, aliases, period, value, scope):
     """The first rule that drops a candidate; null where it is kept."""
     named = X.mentions(quote, aliases)
-    noise = quote.rlike(V.TAXONOMY_MEMBER) | (F.trim(quote).rlike(V.TAXONOMY_NAME) & quote.contains(":") & (F.length(quote) < 80))
+    noise = quote.rlike(V.TAXONOMY_MEMBER) | (F.trim(quote).rlike(V.TAXONOMY_NAME) & quote.contains(":"))
     total = quote.rlike(r"(?i)\btotal (?:net )?(?:revenues?|sales)\b")
     zero = quote.rlike(V.STATES_ZERO)
     return (
@@ -303,7 +388,7 @@ def drop_reason(quote, aliases, period, value, scope):
 
 
 _NAMED = "contains(lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(product, '\\s+', ' ', 'g'))))"
-_DROP = f"CASE WHEN coalesce(trim(quote), '') = '' THEN 'missing_quote' WHEN regexp_matches(quote, '\\b\\w+:\\w+Member\\b') OR (regexp_matches(trim(quote), '^[\\w:.\\-]+$') AND contains(quote, ':') AND length(quote) < 80) THEN 'xbrl_taxonomy_noise' WHEN NOT regexp_matches(period, '[0-9]') AND lower(period) <> 'unknown' THEN 'placeholder_period' WHEN regexp_matches(quote, '(?i)\\btotal (?:net )?(?:revenues?|sales)\\b') AND NOT {_NAMED} THEN 'company_total_not_product' WHEN scope IN ('Worldwide', 'U.S.', 'Product family') AND NOT {_NAMED} THEN 'product_scope_without_product_in_quote' WHEN reported IS NULL THEN 'missing_value' WHEN reported = 0 THEN 'zero_value_unsupported' END"
+_DROP = f"CASE WHEN coalesce(trim(quote), '') = '' THEN 'missing_quote' WHEN regexp_matches(quote, '{V.TAXONOMY_MEMBER}') OR (regexp_matches(trim(quote), '{V.TAXONOMY_NAME}') AND contains(quote, ':')) THEN 'xbrl_taxonomy_noise' WHEN NOT regexp_matches(period, '[0-9]') AND lower(period) <> 'unknown' THEN 'placeholder_period' WHEN regexp_matches(quote, '(?i)\\btotal (?:net )?(?:revenues?|sales)\\b') AND NOT {_NAMED} THEN 'company_total_not_product' WHEN scope IN ('Worldwide', 'U.S.', 'Product family') AND NOT {_NAMED} THEN 'product_scope_without_product_in_quote' WHEN reported IS NULL THEN 'missing_value' WHEN reported = 0 THEN 'zero_value_unsupported' END"
 
 
 @query("q_p09_filter_candidates", f"WITH {DP} SELECT id, {_DROP} AS drop_reason FROM dp")

@@ -158,22 +158,70 @@ def test_bands_put_depth_before_a_hundredth(spark):
     assert [r.candidate for r in P.rank_analogs(s).orderBy("rank").collect()] == ["b", "a", "c"]
 
 
-def test_labels_account_for_every_word():
-    own, others = ["Calderon"], ["Calderon XR", "NuVessa"]
-    read = lambda s: prose.account_for_label(s, own, others)
+def one(spark, column, **values):
+    """The value of a column expression over one row."""
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'array<string>' if isinstance(v, list) else 'string'}" for k, v in values.items())).select(column.alias("x")).first().x
+
+
+def test_labels_account_for_every_word(spark):
+    read = lambda s: one(spark, prose.read_label(F.col("l"), F.col("own"), F.col("others")), l=s, own=["Calderon"], others=["Calderon XR", "NuVessa"])
     assert read("Calderon - U.S.")["scope"] == "United States"
     assert read("Calderon - Global")["scope"] == "Worldwide"
     assert read("Calderon Ex-U.S.")["scope"] == "International"
     assert read("Calderon - Other")["scope"] == "Other"
     assert read("Calderon / Calderon XR / NuVessa")["combined"] == ["Calderon XR", "NuVessa"]
     assert read("Calderon mystery")["flags"] == ["label_not_understood"] and read(None)["matched"] is None
+    assert read("Caldéronn net sales")["matched"] == "Calderon" and read("Total revenue")["is_total"]
+
+
+def test_sentences_and_changes(spark):
+    split = lambda t: one(spark, prose.sentences(F.col("t")), t=t)
+    change = lambda t, v: one(spark, prose.states_a_change(F.col("t"), F.col("v")), t=t, v=v)
+    assert split("Sales rose. It fell!\n12 13\n• Next") == ["Sales rose.", "It fell!", "12 13", "Next"]
+    assert split("U.S. sales were 1.5 in\nQ1; Europe fell.\n\n  3 | 4 \n") == ["U.S. sales were 1.5 in", "Q1;", "Europe fell.", "3 | 4"]
+    assert split("") == [] and split(" \n ") == []
+    assert change("Sales increased by $12.5 million", 12.5)
+    assert not change("Sales increased by 3 million to $12.5 million", 12.5)
+    assert not change(None, 12.5) and not change("Sold 12.5 million", 12.5)
+    assert split(None) is None
+
+
+def test_notes_labels_and_competitors(spark):
+    note = lambda t: one(spark, prose.read_footnote(F.col("t"), F.col("own"), F.col("others")), t=t, own=["Calderon"], others=["NuVessa"])
+    assert note("Includes NuVessa since the launch").asDict() == {"includes": ["NuVessa"], "no_sales": False, "partial": True, "names_own": False}
+    assert note("Calderon: no sales in Japan")["no_sales"] and note(None)["includes"] == []
+    other = lambda t: one(spark, prose.names_a_competing_product(F.col("t"), F.col("own"), F.col("others")), t=t, own=["Calderon"], others=["NuVessa"])
+    assert (other("Calderon + NuVessa"), other("Calderonn sales"), other("NuVessa"), other("other products"), other(None)) == ("nuvessa", None, "nuvessa", "other products", None)
+
+
+def test_prose_figures(spark):
+    read = lambda t: [(r["period"], r["value"], r["unit"]) for r in one(spark, prose.read_prose(F.col("t"), F.array(F.lit("Calderon"))), t=t)]
+    assert read("Calderon sold 12.5 million in Q1 2019. Nothing else.") == [("Q1 2019", 12.5, "million")]
+    assert read("Calderon sold 1 million in Q1 2019 and 2 million in Q2 2019.") == [("Q1 2019", 1.0, "million"), ("Q2 2019", 2.0, "million")]
+    assert read("In Q1 2019, Q2 2019 Calderon sold 1 million, 2 million respectively.") == [("Q1 2019", 1.0, "million"), ("Q2 2019", 2.0, "million")]
+    assert read("In Q1 2019, Q2 2019 Calderon sold 1 million, 2 million.") == []
+    assert read("Calderon and NuVessa® sold 1 million in Q1 2019.") == [] and read("Together with Calderon 1 million in Q1 2019.") == []
+    assert read("In Q1 2019 Calderon rose by 3 million to 9 million.") == [("Q1 2019", 9.0, "million")]
+    assert read("NuVessa sold 1 million in Q1 2019.") == [] and read("") == []
+
+
+def test_indications_once_each(spark):
+    t = "Calderon is indicated for the treatment of velar ataxia in adults. Approval of Calderon for Velar Ataxia came in May. Patients with HER2-positive chronic stasis, who relapsed."
+    got = [tuple(r) for r in one(spark, prose.parse_indications(F.col("t")), t=t)]
+    assert got == [("velar ataxia", None, "adults", None), ("HER2-positive chronic stasis", "chronic", "patients", "HER2-positive")]
+
+
+def test_lines_of_therapy(spark):
+    from seriesloom.plans.texts import line_of_therapy
+
+    said = {"first-line use": "first_line", "after one prior therapy": "second_line_plus", "following two previous systemic regimens": "third_line_plus", "relapsed disease": "subsequent_unspecified", "first-line or after two prior regimens": "unresolved", "disease": "all_lines_or_unspecified", "": "unresolved"}
+    assert {t: one(spark, line_of_therapy(F.col("t")), t=t) for t in said} == said
 
 
-def test_sentences_and_changes():
-    assert prose.split_sentences("Sales rose. It fell!\n12 13\n• Next") == ["Sales rose.", "It fell!", "12 13", "Next"]
-    assert prose.change_not_level("Sales increased by $12.5 million", 12.5)
-    assert not prose.change_not_level("Sales increased by 3 million to $12.5 million", 12.5)
-    assert prose.split_sentences(None) == []
+def test_evidence_windows_against_brute_force():
+    t = "x" * 2000 + "Calderon 5 million" + "y" * 2500 + "calderon" + "z" * 100 + "Calderon $ 4 and 6 million"
+    passages, windows, mentions = prose.evidence(t, ["Calderon"])
+    assert mentions == 3 and windows == 2 and "5 million" in passages and "6 million" in passages and prose.evidence(None, ["a", ""]) == ("", 0, 0)
 
 
 def test_set_cover_prefers_the_widest():
