@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.functions.periods import let
+
 RIDGE = 1e-3  # keeps the equations solvable for a key with few readings
 
 
@@ -44,15 +46,18 @@ def _solve(upper: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(list(np.linalg.solve(a + penalty, b[:, :, None])[:, :, 0]))
 
 
-def regular_grid(points: DataFrame, keys: list[str], index: str, value: str, season: int = 4, harmonics: int = 2) -> DataFrame:
+def regular_grid(points: DataFrame, keys: list[str], index: str, value: str, season: int = 4, harmonics: int = 2, bounded: bool = True) -> DataFrame:
     """One row per key and grid slot between the key's first and last reading.
 
     ``points`` has at most one row per (keys, index). Rows whose key, index or
     value is null (or NaN) are no readings and are dropped. Returns ``keys``,
     ``index``, ``value`` (observed, else bridged prediction), ``fitted`` (the
-    regression alone) and ``is_observed``. A key with one reading yields that
-    one row; an empty table yields none. Columns of ``points`` other than the
-    named ones are ignored, so clashing names do no harm.
+    regression alone) and ``is_observed``. Where ``bounded``, a fill between two
+    readings that are not negative is none either; where the equations give no
+    finite prediction the gap is bridged in a straight line, so every slot has a
+    value. A key with one reading yields that one row; an empty table yields
+    none. Columns of ``points`` other than the named ones are ignored, so
+    clashing names do no harm.
     """
     obs = points.select(*keys, F.col(index).cast("int").alias("_i"), F.col(value).cast("double").alias("_v"))
     obs = obs.filter(F.col("_i").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -80,10 +85,14 @@ def regular_grid(points: DataFrame, keys: list[str], index: str, value: str, sea
     share = (F.col("_g") - F.col("_i")) / (F.col("_ni") - F.col("_i"))
     left, right = F.col("_v") - fit(F.col("_i")), F.col("_nv") - fit(F.col("_ni"))
     seen = F.col("_g") == F.col("_i")
+    straight = F.col("_v") + share * (F.col("_nv") - F.col("_v"))
+    fill = let(fit(F.col("_g")) + left + share * (right - left), lambda x: F.when(F.abs(x) < F.lit(1e300), x).otherwise(straight))
+    if bounded:
+        fill = let(fill, lambda x: F.when((x < 0) & (F.col("_v") >= 0) & (F.col("_nv") >= 0), 0.0).otherwise(x))
     return slots.select(
         *keys,
         F.col("_g").alias(index),
-        F.when(seen, F.col("_v")).otherwise(fit(F.col("_g")) + left + share * (right - left)).alias(value),
+        F.when(seen, F.col("_v")).otherwise(fill).alias(value),
         fit(F.col("_g")).alias("fitted"),
         seen.alias("is_observed"),
     )

@@ -29,7 +29,8 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).filter("not is_observed").select("series_identity", quarter_label(F.col("q")).alias("period"))
+    """The quarters the grid fills: those that come out of it with a predicted value."""
+    return _grid(spark, d).filter("not is_observed and value_reported is not null and not isnan(value_reported)").select("series_identity", quarter_label(F.col("q")).alias("period"))
 
 
 def _trailing(spark: SparkSession, d: str, windows: tuple[int, ...]) -> DataFrame:
