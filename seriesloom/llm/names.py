@@ -1,8 +1,16 @@
 """Variant spellings of names typed by people (problem 3).
 
-Method: metric-space partitioning. Names are assigned to the nearest of some
-pivots; a name is replicated to each further pivot that the triangle inequality
-leaves open; inside a cell an exact radius join runs with a true edit metric.
+Method: metric-space partitioning under the unrestricted Damerau-Levenshtein
+metric. The pivots are the sub-spellings of the names: what is left when up to
+as many letters are left out as the radius allows. A name lies at a distance of
+at most the radius from each of its pivots and is replicated to all of their
+cells; two names within the radius always share one, since each edit can be
+undone by leaving one letter out on either side; and by the triangle inequality
+no cell holds names further apart than twice the radius. Inside the cells the
+exact radius join runs with the true metric. Pivots drawn from among the names
+themselves do not part them: at radius two nearly every name lies within the
+bound of nearly every such pivot.
+
 What a name consists of (brand, generic, strength, formulation; proper names,
 field of business, legal form) is read off first, so the metric compares cores.
 """
@@ -12,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.edits import distances, encode, lower_bounds
-from seriesloom.session import cut_lineage
+from seriesloom.llm.edits import distances, encode, sub_spellings, within
+from seriesloom.operators.prose import ACCENTS
+from seriesloom.session import cut_lineage, write_once
 
-PIVOTS, PIVOT_SAMPLE = 24, 2000  # pivots are drawn from a sample of this many names; any pivots give whole results
-SHORT = 8  # letters a name must have for two edits to be a slip
-BLOCK = 3000  # names of a cell compared in one task; larger cells are split into pairs of blocks
+HEAD = 32  # longer names meet by their first letters, which bounds the pivots of a name
+SLIP, STEM = 4, 2  # where no generic name bears a link out: a slip edits at most a quarter of the letters, an abbreviation keeps at least half
 
 # Words that make a formulation of a brand.
 FORMULATIONS = {
@@ -56,15 +65,22 @@ _DIGITS = str.maketrans("01356894", "olesbbga")
 
 
 def fold(s: str) -> str:
-    """Lower case without accents, marks or odd spaces."""
-    s = unicodedata.normalize("NFKD", s)
-    return " ".join("".join(c for c in s if not unicodedata.combining(c)).lower().split())
+    """Lower case without odd spaces; Latin letters without accents, other scripts with their marks."""
+    out: list[str] = []
+    latin = False
+    for c in unicodedata.normalize("NFKD", s):
+        if not unicodedata.combining(c):
+            latin = c < "\u0250"
+        elif latin:
+            continue
+        out.append(c)
+    return " ".join(unicodedata.normalize("NFC", "".join(out)).lower().split())
 
 
 def _letters(s: str) -> str:
-    """The letters; digits that look like letters, inside a word, are read as those."""
+    """The letters of every script, with their marks; digits that look like letters, inside a word, are read as those."""
     s = re.sub(r"(?<=[a-z])[01356894](?=[a-z.]|$)|^[01356894](?=[a-z])", lambda m: m[0].translate(_DIGITS), s)
-    return re.sub(r"[^a-z]", "", s)
+    return "".join(c for c in s if c.isalpha() or unicodedata.category(c)[0] == "M")
 
 
 def read_product(raw: str) -> tuple[str, str, str, bool]:
@@ -87,12 +103,14 @@ def read_product(raw: str) -> tuple[str, str, str, bool]:
         form = f"{tokens.pop().strip('.')} {form}".strip()
     form = form.replace("paediatric", "pediatric")
     short = bool(tokens) and tokens[-1].endswith(".")
-    return _letters("".join(tokens)), form, _letters(fold(generic)), short
+    # a name without a letter is compared by what it has
+    return _letters("".join(tokens)) or "".join(tokens) or "".join(fold(raw).split()), form, _letters(fold(generic)), short
 
 
 _FIELD_OF = {alias: name for name, aliases in FIELDS.items() for alias in aliases}
 
 
+@lru_cache(maxsize=1 << 16)
 def _field(token: str) -> str | None:
     """The field a token means, one or two slips allowed in a long one."""
     if token in _FIELD_OF:
@@ -123,76 +141,68 @@ def read_company(raw: str) -> tuple[list[str], str, str]:
             field = f
         else:
             names.append(t)
-    return sorted(names), field, initial
+    # a name of nothing but legal forms, fields or signs is a proper name as it stands
+    return sorted(names) or [x for x in ("".join(fold(raw).split()),) if x], field, initial if names else ""
 
 
 # --- exact radius join -------------------------------------------------------------------------
 
 
-def choose_pivots(names: DataFrame, column: str) -> tuple[list[str], int]:
-    """(pivots far from one another, number of names); pivots come from a sample of bounded size in the order of a hash."""
-    sample = [r[0] for r in names.select(column).orderBy(F.xxhash64(column)).limit(PIVOT_SAMPLE).collect()]
-    if not sample:
-        return [], 0
-    codes, sizes, _ = encode(sample)
-    chosen = [0]
-    near = np.full(len(sample), 10**6)
-    while len(chosen) < min(PIVOTS, len(sample)):
-        k = chosen[-1]
-        near = np.minimum(near, distances(codes, sizes, np.repeat(codes[k : k + 1], len(sample), 0), np.repeat(sizes[k], len(sample))))
-        if near.max() == 0:
-            break
-        chosen.append(int(near.argmax()))
-    return [sample[k] for k in chosen], len(sample) if len(sample) < PIVOT_SAMPLE else names.count()
+def cells(names: DataFrame, radius: int) -> DataFrame:
+    """(key, s, host, guest): each name of column ``s`` in the cell of each of its pivots.
+
+    A name is its own host and guest up to HEAD letters less the radius. A longer
+    one is host with its first HEAD letters and guest with every beginning that
+    a host's can be aligned with: those at most ``radius`` longer or shorter.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s = pdf["s"].tolist()
+            heads = [(i, n[:m], m == min(HEAD, len(n))) for i, n in enumerate(s) for m in sorted({min(HEAD + k, len(n)) for k in range(-radius, radius + 1)})]
+            row, key = sub_spellings([h for _, h, _ in heads], radius)
+            yield pd.DataFrame({"key": key, "s": [s[heads[r][0]] for r in row], "host": [heads[r][2] for r in row]})
+
+    out = names.select("s").mapInPandas(run, "key long, s string, host boolean")
+    return out.groupBy("key", "s").agg(F.max("host").alias("host"))
+
+
+def _distances_within(a: list[str], b: list[str], radius: int) -> np.ndarray:
+    """Distances of pairs, right where they are within the radius; long names apart, the others by blocks of bounded memory."""
+    out = np.full(len(a), radius + 1, np.int32)
+    short = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        if max(len(x), len(y)) > 2 * HEAD:
+            out[i] = within(x, y, radius)
+        else:
+            short.append(i)
+    for at in range(0, len(short), 2000):
+        part = short[at : at + 2000]
+        (ca, la, _), (cb, lb, _) = encode([a[i] for i in part]), encode([b[i] for i in part])
+        out[part] = distances(ca, la, cb, lb)
+    return out
+
+
+def candidate_pairs(names: DataFrame, column: str, radius: int) -> DataFrame:
+    """(a, b): the pairs a < b of distinct strings that share a cell, each once; every pair within ``radius`` is among them."""
+    n = names.select(F.col(column).alias("s")).filter("s is not null and s != ''").distinct()
+    c = write_once(cells(n, radius))
+    shared = c.filter("host").select("key", F.col("s").alias("x")).join(c.select("key", F.col("s").alias("y")), "key").filter("x != y")
+    return shared.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().filter(F.abs(F.length("a") - F.length("b")) <= radius)
 
 
 def radius_join(names: DataFrame, column: str, radius: int) -> DataFrame:
-    """(a, b, d): all pairs a < b of distinct strings within ``radius`` of the edit metric.
+    """(a, b, d): all pairs a < b of distinct strings within ``radius`` (one or two) of the edit metric.
 
-    Two names within the radius differ in their distance to any pivot by at most
-    the radius, so if one's home is pivot p, the other's distance to p exceeds
-    that to its own home by at most twice the radius: it is replicated there,
-    and the home's task finds the pair. Nulls and empty strings join nothing.
+    The join on cells is an equi-join that AQE may split where many names share
+    a pivot. Nulls and empty strings join nothing.
     """
-    spark = names.sparkSession
-    n = names.select(F.col(column).alias("s")).filter("s is not null and s != ''").distinct()
-    pivots, size = choose_pivots(n, "s")
-    if not pivots:
-        return spark.createDataFrame([], "a string, b string, d int")
-    pc, ps, pn = encode(pivots)
-    blocks = max(1, round(size / len(pivots) / BLOCK))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = pdf["s"].tolist()
-            c, z, _ = encode(s)
-            k = len(pivots)
-            d = distances(np.repeat(c, k, 0), np.repeat(z, k), np.tile(pc, (len(s), 1)), np.tile(ps, len(s))).reshape(len(s), k)
-            home = d.argmin(1)
-            i, j = np.nonzero(d - d.min(1)[:, None] <= 2 * radius)
-            yield pd.DataFrame({"s": [s[x] for x in i], "cell": j.astype(np.int32), "home": home[i] == j})
-
-    assigned = n.mapInPandas(assign, "s string, cell int, home boolean")
-    # a cell too large for one task is split: each home block meets each block of the cell
-    part = F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    role = lambda x, y, home: F.struct(x.alias("x"), y.alias("y"), F.lit(home).alias("home"))
-    hosts = F.when(F.col("home"), F.transform(every, lambda y: role(part, y, True))).otherwise(F.array().cast("array<struct<x:int,y:int,home:boolean>>"))
-    roles = assigned.select("s", "cell", F.explode(F.concat(hosts, F.transform(every, lambda x: role(x, part, False)))).alias("r")).select("s", "cell", "r.*")
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (sorted(pdf.loc[pdf["home"] == h, "s"]) for h in (True, False))
-        out = []
-        if left and right:
-            rc, rz, rn = encode(right)
-            for at in range(0, len(left), 500):
-                lc, lz, ln = encode(left[at : at + 500])
-                i, j = np.nonzero(lower_bounds(ln, rn) <= radius)
-                d = distances(lc[i], lz[i], rc[j], rz[j])
-                out += [(left[at + p], right[q], int(v)) for p, q, v in zip(i, j, d) if 0 < v <= radius]
-        return pd.DataFrame([(min(p, q), max(p, q), v) for p, q, v in out], columns=["a", "b", "d"])
-
-    return roles.groupBy("cell", "x", "y").applyInPandas(inside, "a string, b string, d int").distinct()
+    @F.pandas_udf(T.IntegerType())
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(_distances_within(a.tolist(), b.tolist(), radius), dtype="int32")
+
+    return candidate_pairs(names, column, radius).withColumn("d", distance("a", "b")).filter(F.col("d") <= radius)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -244,12 +254,14 @@ def product_classes(drug_jobs: DataFrame, datapoints: DataFrame) -> DataFrame:
     Labels for two products are left out. Strings link when their cores are
     equal, within two edits, or one an abbreviation of the other, the
     formulation is the same, and the generic names known of them (from the
-    string, its jobs, or the job of a datapoint) do not contradict; where none
-    is known of one side, the label links to its job's product and otherwise
-    only to its nearest, best attested candidate. Null, empty and
-    letterless strings link to nothing.
+    string, its jobs, or the job of a datapoint) are one. Where none is known of
+    one side, an edited name must keep three quarters of its letters and an
+    abbreviation half; then the label links to its job's product and otherwise
+    only to its nearest, best attested candidate. Letters of every script
+    count; a name without letters is compared by its figures and signs. Null
+    and blank strings name nothing and have no class.
     """
-    jobs = drug_jobs.select("id", "drug_name", F.regexp_replace(F.lower(F.trim("generic_name")), "[^a-z]", "").alias("generic")).distinct()
+    jobs = drug_jobs.select("id", "drug_name", F.regexp_replace(F.translate(F.lower(F.trim("generic_name")), *ACCENTS), r"[^\p{L}\p{M}]", "").alias("generic")).distinct()
     labels = datapoints.filter(F.coalesce(F.size("combined_with"), F.lit(0)) <= 0).select("job_id", F.col("product_label").alias("name")).filter("name is not null")
     labels = labels.groupBy("job_id", "name").count()
     generics = _modes(jobs.select("id", "generic"), "id", "generic")
@@ -265,9 +277,8 @@ def product_classes(drug_jobs: DataFrame, datapoints: DataFrame) -> DataFrame:
     weight = parsed.groupBy(node.alias("node"), "core", "form").agg(F.count("*").alias("w"), F.max("short").alias("short"))
     nodes = cut_lineage(weight.join(_modes(parsed.select(node.alias("node"), "generic"), "node", "generic"), "node", "left"))
 
-    # a stem of few letters is within two edits of too many others
-    near = radius_join(nodes, "core", 2).filter((F.least(F.length("a"), F.length("b")) >= SHORT) | (F.col("d") <= 1))
-    cut = nodes.select("node", "core", "form", "generic", F.explode(F.sequence(F.lit(5), F.greatest(F.length("core") - 2, F.lit(5)))).alias("n"))
+    near = radius_join(nodes, "core", 2)
+    cut = nodes.select("core", F.explode(F.sequence(F.lit(2), F.greatest(F.length("core") - 2, F.lit(2)))).alias("n"))
     cut = cut.filter("n <= length(core) - 2").select(F.col("core").alias("b"), F.expr("substring(core, 1, n)").alias("a"), F.lit(1).alias("d")).distinct()
     stems = cut.join(nodes.select(F.col("core").alias("a")).distinct(), "a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
     close = near.unionByName(stems).groupBy("a", "b").agg(F.min("d").alias("d"))
@@ -277,8 +288,10 @@ def product_classes(drug_jobs: DataFrame, datapoints: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs.select("node_x", "node_y", "core_x", "core_y", "d", "generic_x", "generic_y", "w_x", "w_y"))  # read three times below
     both = F.col("generic_x").isNotNull() & F.col("generic_y").isNotNull()
     agreed = pairs.filter(both & (F.col("generic_x") == F.col("generic_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    # without a generic on both sides a lone spelling links to its nearest, best attested candidate
-    loose = pairs.filter(~both)
+    # without a generic on both sides a lone spelling links to its nearest, best attested candidate, if that is near enough
+    shorter, longer = F.least(F.length("core_x"), F.length("core_y")), F.greatest(F.length("core_x"), F.length("core_y"))
+    slip, stem = (longer - shorter <= 2) & (SLIP * F.col("d") <= shorter), (longer - shorter >= 2) & (STEM * shorter >= longer) & (F.col("d") == 1)
+    loose = pairs.filter(~both & (slip | stem))
     of = parsed.select("name", node.alias("node"))
     told = labels.select("name", F.col("job_id").alias("id")).join(jobs.select("id", "drug_name"), "id").select("name", "drug_name").distinct()
     told = told.join(of.withColumnRenamed("node", "a"), "name").join(of.select(F.col("name").alias("drug_name"), F.col("node").alias("b")), "drug_name").filter("a != b")
@@ -330,7 +343,7 @@ def _by_field(j: DataFrame) -> DataFrame:
 
 
 def company_classes(drug_jobs: DataFrame) -> DataFrame:
-    """(name, class) of every manufacturer string that holds a proper name.
+    """(name, class) of every manufacturer string but null and blank ones.
 
     Proper names may be reordered, joined, mistyped (two edits), or cut to an
     initial or to one name; legal forms count for nothing; fields of business

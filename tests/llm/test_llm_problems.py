@@ -276,9 +276,9 @@ def test_the_metric_keeps_the_triangle_inequality(x, y, z):
     assert slow_distance(x, z) <= slow_distance(x, y) + slow_distance(y, z)
 
 
-@pytest.mark.parametrize("block", [3000, 20])
-def test_radius_join_is_whole(spark, monkeypatch, block):
-    monkeypatch.setattr(names, "BLOCK", block)
+@pytest.mark.parametrize("head", [32, 4])  # 4: most names are longer and meet by their beginnings
+def test_radius_join_is_whole(spark, monkeypatch, head):
+    monkeypatch.setattr(names, "HEAD", head)
     rng = random.Random(1)
     base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(120)]
     every = list(dict.fromkeys(base + [b[:2] + "x" + b[3:] for b in base[:40]] + [b[1:] for b in base[:20]]))
