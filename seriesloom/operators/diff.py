@@ -38,7 +38,7 @@ def compare_copies(left: DataFrame, right: DataFrame, key: str, fields: list[Fie
     ``differs``) and ``differences`` (array of field, left_value, right_value as
     text). Null keys are one key, matched null-safely. A field null on both
     sides is equal, null on one side differs. Repeated rows of a key are one
-    row. Only the key and the fields are carried, so extra or clashing columns
+    row, the greatest; where they conflict ``conflicting_rows`` tells. Only the key and the fields are carried, so extra or clashing columns
     do no harm. Both empty: no rows.
     """
     a = one_per_key(left, key, [(f.name, f.left) for f in fields]).select("_key", F.col("_f").alias("_l"))
@@ -59,6 +59,20 @@ def compare_copies(left: DataFrame, right: DataFrame, key: str, fields: list[Fie
     return found.filter((F.col("status") != "differs") | (F.size("differences") > 0))
 
 
+def conflicting_rows(rows: DataFrame, key: str, fields: list[tuple[str, Column]]) -> DataFrame:
+    """(key, field, least, greatest): fields in which the repeated rows of one key differ within one copy.
+
+    A field null in some rows and not in others differs; its extremes are those
+    of the values there are. Extremes combine before the shuffle.
+    """
+    packed = rows.select(F.col(key).alias("_key"), *[c.alias(f"_{n}") for n, c in fields])
+    ends = [f for n, _ in fields for f in (F.min(f"_{n}").alias(f"lo_{n}"), F.max(f"_{n}").alias(f"hi_{n}"), F.count(f"_{n}").alias(f"n_{n}"))]
+    g = packed.groupBy("_key").agg(F.count("*").alias("n"), *ends)
+    differs = lambda n: F.coalesce(F.col(f"lo_{n}") != F.col(f"hi_{n}"), F.lit(False)) | ((F.col(f"n_{n}") > 0) & (F.col(f"n_{n}") < F.col("n")))
+    found = F.array_compact(F.array(*[F.when(differs(n), F.struct(F.lit(n).alias("field"), F.col(f"lo_{n}").cast("string").alias("least"), F.col(f"hi_{n}").cast("string").alias("greatest"))) for n, _ in fields]))
+    return g.filter("n > 1").select(F.col("_key").alias(key), F.explode(found).alias("f")).select(key, "f.*")
+
+
 def plain_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"[\s ]+", " ")))
 
@@ -68,13 +82,24 @@ def meant_period(c: Column) -> Column:
     return F.coalesce(period_label(c), plain_name(c))
 
 
-def revenue_differences(revenue: DataFrame, export: DataFrame) -> DataFrame:
-    """quarterly_revenue against revenue_export by ``row_id``."""
+def revenue_fields() -> list[Field]:
+    """The compared fields of quarterly_revenue and revenue_export."""
     value = F.col("value_reported")
-    fields = [
+    return [
         Field("drug_name", plain_name(F.col("drug_name")), plain_name(F.col("drug_name"))),
         Field("period", meant_period(F.col("period")), meant_period(F.col("period"))),
         Field("value_reported", F.when(~F.isnan(value), value), text_number(value), 0.0005 + 1e-9),
         Field("currency", plain_name(F.col("currency")), plain_name(F.col("currency"))),
     ]
-    return compare_copies(revenue, export, "row_id", fields)
+
+
+def revenue_differences(revenue: DataFrame, export: DataFrame) -> DataFrame:
+    """quarterly_revenue against revenue_export by ``row_id``."""
+    return compare_copies(revenue, export, "row_id", revenue_fields())
+
+
+def revenue_conflicts(revenue: DataFrame, export: DataFrame) -> DataFrame:
+    """Rows of one ``row_id`` that differ within either copy."""
+    fields = revenue_fields()
+    a = conflicting_rows(revenue, "row_id", [(f.name, f.left) for f in fields]).select("row_id", F.lit("revenue").alias("copy"), "field", "least", "greatest")
+    return a.unionByName(conflicting_rows(export, "row_id", [(f.name, f.right) for f in fields]).select("row_id", F.lit("export").alias("copy"), "field", "least", "greatest"))

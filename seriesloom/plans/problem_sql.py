@@ -74,4 +74,43 @@ P4 = (
     "UNION ALL SELECT row_id, 'value_reported' FROM j WHERE v UNION ALL SELECT row_id, 'currency' FROM j WHERE c"
 )
 
-ORACLES = {"p1_found": P1, "p2_found": P2, "p2_trailing": P2_ALL, "p4_found": P4}
+_P4_BOTH = P4.split("SELECT a.row_id, a.drug_name IS DISTINCT FROM")[0]
+_P4_DIFF = "list_filter([" + ", ".join(
+    f"CASE WHEN {cond} THEN '{f}=' || coalesce(CAST(a.{f} AS VARCHAR), 'null') || '|' || coalesce(CAST(b.{f} AS VARCHAR), 'null') END"
+    for f, cond in [
+        ("drug_name", "a.drug_name IS DISTINCT FROM b.drug_name"), ("period", "a.period IS DISTINCT FROM b.period"),
+        ("value_reported", "NOT coalesce(abs(a.value_reported - b.value_reported) <= 0.000500001, a.value_reported IS NULL AND b.value_reported IS NULL)"), ("currency", "a.currency IS DISTINCT FROM b.currency"),
+    ]
+) + "], lambda x: x IS NOT NULL)"
+P4_ALL = (
+    f"{_P4_BOTH.rsplit('j AS (', 1)[0].rstrip().rstrip(',')} SELECT row_id, 'missing_in_right' AS status, NULL AS differences FROM a ANTI JOIN b USING (row_id) UNION ALL SELECT row_id, 'missing_in_left', NULL FROM b ANTI JOIN a USING (row_id) "
+    f"UNION ALL SELECT * FROM (SELECT a.row_id, 'differs', {_P4_DIFF} AS differences FROM a JOIN b USING (row_id)) WHERE len(differences) > 0"
+)
+
+
+def p7(explained: str, floor: float, steepness: float, frozen: int) -> str:
+    """Implausible records, by the multiscale median transform over each series' latest figures."""
+    limit = f"({floor}::DOUBLE + {steepness}::DOUBLE * coalesce(scale, 0))"
+    smooth = lambda c, l1, r1, l2, r2: f"list_sort([{c}, coalesce({l1}, {r1}, {c}), coalesce({r1}, {l1}, {c}), coalesce({l2}, {r2}, {l1}, {r1}, {c}), coalesce({r2}, {l2}, {r1}, {l1}, {c})])[3]"
+    out = lambda d: f"l1 IS NOT NULL AND r1 IS NOT NULL AND (({d} > {limit} AND NOT x) OR {d} < -{limit})"
+    mid = lambda a, b, c: f"list_sort([{a}, {b}, {c}])[2]"
+    return (
+        f"WITH {_QUARTERS}, r AS (SELECT series_identity AS k, q AS i, value_reported AS v, reported_at, row_id, coalesce(regexp_matches(source_quote, '{explained}'), false) AS x FROM quarters WHERE value_reported IS NOT NULL AND NOT isnan(value_reported) AND series_identity IS NOT NULL AND q IS NOT NULL), "
+        "s AS (SELECT k, i, arg_max(row_id, (reported_at, row_id)) AS row_id, arg_max(v, (reported_at, row_id)) AS v, arg_max(x, (reported_at, row_id)) AS x, min(row_id) <> max(row_id) AS several FROM r GROUP BY 1, 2), "
+        "f AS (SELECT *, CASE WHEN lag(v) OVER w = v AND lag(i) OVER w = i - 1 THEN 0 ELSE 1 END AS starts FROM s WINDOW w AS (PARTITION BY k ORDER BY i)), "
+        "g AS (SELECT *, sum(starts) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f), h AS (SELECT *, count(*) OVER (PARTITION BY k, run) AS n FROM g), "
+        "y AS (SELECT *, ln(v) AS y FROM s WHERE v > 0), n AS (SELECT *, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, lead(y, 1) OVER w AS r1, lead(y, 2) OVER w AS r2 FROM y WINDOW w AS (PARTITION BY k ORDER BY i)), "
+        f"c AS (SELECT *, {mid('y', 'coalesce(l1, r1, y)', 'coalesce(r1, l1, y)')} AS c, quantile_cont(abs(y - (l1 + r1) / 2), 0.5) OVER (PARTITION BY k) * 1.4826::DOUBLE AS scale FROM n), "
+        "t AS (SELECT *, lag(c, 1) OVER w AS cl1, lag(c, 2) OVER w AS cl2, lead(c, 1) OVER w AS cr1, lead(c, 2) OVER w AS cr2 FROM c WINDOW w AS (PARTITION BY k ORDER BY i)), "
+        f"z AS (SELECT r.row_id, ln(r.v) AS y, r.x, l1, r1, l2, r2, cl2, cr2, scale FROM r JOIN t ON r.k = t.k AND r.i = t.i WHERE r.v > 0 AND t.several AND r.row_id <> t.row_id), "
+        f"o AS (SELECT *, {mid('y', 'l1', 'r1')} AS c, {mid('l1', 'y', 'coalesce(l2, y)')} AS a, {mid('r1', 'y', 'coalesce(r2, y)')} AS b FROM z) "
+        f"SELECT row_id, 'impossible' AS problem FROM r WHERE v <= 0 UNION SELECT row_id, 'frozen' FROM h WHERE n >= {frozen} AND starts = 0 "
+        f"UNION SELECT row_id, 'spike' FROM (SELECT *, y - {smooth('c', 'cl1', 'cr1', 'cl2', 'cr2')} AS d FROM t) WHERE {out('d')} "
+        f"UNION SELECT row_id, 'spike' FROM (SELECT *, y - {smooth('c', 'a', 'b', 'cl2', 'cr2')} AS d FROM o) WHERE {out('d')}"
+    )
+
+
+_CONFLICT = lambda side, t, v: " UNION ALL ".join(f"SELECT row_id, '{side}' AS copy, '{f}' AS field, CAST(min({e}) AS VARCHAR) AS least, CAST(max({e}) AS VARCHAR) AS greatest FROM {t} GROUP BY row_id HAVING min({e}) <> max({e}) OR count({e}) NOT IN (0, count(*))" for f, e in [("drug_name", _plain("drug_name")), ("period", _MEANT), ("value_reported", v), ("currency", _plain("currency"))])
+P4_CONFLICTS = _CONFLICT("revenue", "quarterly_revenue", "value_reported") + " UNION ALL " + _CONFLICT("export", "revenue_export", _NUMBER)
+
+ORACLES = {"p1_found": P1, "p2_found": P2, "p2_trailing": P2_ALL, "p4_found": P4, "p4_differences": P4_ALL, "p4_conflicts": P4_CONFLICTS}

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.periods import quarter_label
-from seriesloom.operators.diff import revenue_differences
+from seriesloom.operators.diff import revenue_conflicts, revenue_differences
 from seriesloom.operators.grid import regular_grid
 from seriesloom.operators.latest import latest_by_slot, number_or_null, quarter_rows
-from seriesloom.operators.spikes import revenue_implausible
+from seriesloom.operators.spikes import EXPLAINED, FLOOR, FROZEN, STEEPNESS, revenue_implausible
 from seriesloom.operators.trailing import trailing_totals
 from seriesloom.operators.units import convert_amounts, misconverted
+from seriesloom.plans import problem_sql
 from seriesloom.session import table
 
 
@@ -67,6 +68,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _differences(spark, d).select("row_id", F.explode(F.coalesce(said, F.transform("differences", lambda x: x["field"]))).alias("difference"))
 
 
+def p4_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose repeated rows differ within one copy."""
+    return revenue_conflicts(table(spark, d, "quarterly_revenue"), table(spark, d, "revenue_export"))
+
+
 def p5_converted(spark: SparkSession, d: str) -> DataFrame:
     """Every datapoint's amount in millions of US dollars, or the reason there is none."""
     return convert_amounts(table(spark, d, "datapoints"), table(spark, d, "fx_rates")).withColumnRenamed("id", "datapoint_id")
@@ -85,4 +91,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return revenue_implausible(table(spark, d, "quarterly_revenue")).select("row_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_trailing, p4_found, p4_differences, p5_found, p5_converted, p7_found, p7_implausible)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_trailing, p4_found, p4_differences, p4_conflicts, p5_found, p5_converted, p7_found, p7_implausible)}
+_P7 = problem_sql.p7(EXPLAINED, FLOOR, STEEPNESS, FROZEN)
+ORACLES = {"p7_implausible": _P7, "p7_found": f"SELECT DISTINCT row_id FROM ({_P7})"}

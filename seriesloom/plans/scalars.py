@@ -177,17 +177,35 @@ over("q_n05_agrees", lambda s, d: readings(s, d).filter("value is not null"), "i
 over("q_n06_rounding_tolerance", orders, "o_orderkey", lambda: numeric.rounding_tolerance(c("o_orderkey") % 7), ORD, "0.5 * (o_orderkey % 7 + 1)")
 over("q_n11_percent_change", lambda s, d: table(s, d, "events"), "event_id", lambda: numeric.percent_change(c("value"), c("user_id") % 10 * 1.0), "SELECT {sel} FROM events", "CASE WHEN user_id % 10 <> 0 THEN (value - user_id % 10) / (user_id % 10) * 100 END")
 over("q_n12_looks_like_change", lambda s, d: table(s, d, "events"), "event_id", lambda: numeric.looks_like_change(c("user_id") % 100 * 1.0, c("value"), c("user_id") % 10 * 1.0), "SELECT {sel} FROM events", "coalesce(CASE WHEN user_id % 10 <> 0 THEN abs(user_id % 100 - (value - user_id % 10) / (user_id % 10) * 100) <= 0.6 END, false)")
+# --- lists of figures as SQL -------------------------------------------------------------------
+
+NUMBERS = (
+    "nt AS (SELECT *, list_filter(list_transform(regexp_extract_all(quote, '-?\\(?\\d[\\d,]*\\.?\\d*\\)?'), lambda t: {'v': (CASE WHEN t LIKE '(%' AND t LIKE '%)' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * TRY_CAST(replace(regexp_replace(t, '[()]', '', 'g'), ',', '') AS DOUBLE), 'dot': contains(t, '.')}), lambda x: x.v IS NOT NULL) AS l FROM dp WHERE quote IS NOT NULL), "
+    "num AS (SELECT * EXCLUDE (l), list_transform(list_filter(range(1, len(l) + 1), lambda i: len(list_filter(l[1:i], lambda x: x.dot OR abs(x.v) >= 10)) > 0), lambda i: l[i].v) AS n FROM nt)"
+)
+COMPARATIVE = (
+    f"{NUMBERS}, hv AS (SELECT *, len(n) // 2 AS half, greatest(len(n) // 2, 1) AS w FROM num), "
+    "pt AS (SELECT *, n[1:w] AS a, n[half + 1:half + w] AS b FROM hv), "
+    "cmp AS (SELECT * EXCLUDE (a, b), CASE WHEN coalesce(len(n) >= 3 AND abs(n[1] - n[2] - n[3]) <= 0.15 AND (len(n) < 4 OR n[2] = 0 OR abs(100 * (n[1] - n[2]) / n[2] - n[4]) <= 1.5) AND abs(n[1] - reported) <= 0.15, false) THEN n[2] "
+    "WHEN coalesce(len(n) >= 6 AND len(n) % 2 = 0 AND abs(list_sum(a) - 2 * a[-1]) <= 0.15 AND abs(list_sum(b) - 2 * b[-1]) <= 0.15, false) THEN b[list_filter(range(1, len(a) + 1), lambda i: abs(a[i] - reported) <= 0.15)[1]] END AS v FROM pt)"
+)
+
+
+def text_number_sql(x: str) -> str:
+    """Text to a number, over a list of texts ``x``."""
+    joined = f"list_transform({x}, lambda t: regexp_replace(regexp_replace(regexp_replace(trim(t), '\\s', '', 'g'), '[−–]', '-', 'g'), '^\\((.*)\\)$', '-\\1'))"
+    plain = f"list_transform({joined}, lambda t: CASE WHEN regexp_matches(t, '^[-+]?\\d{{1,3}}(\\.\\d{{3}})+,\\d+$') THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END)"
+    return f"list_transform({plain}, lambda t: CASE WHEN regexp_matches(t, '^[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?$') THEN TRY_CAST(regexp_replace(t, '^\\+', '') AS DOUBLE) END)"
+
+
 over("q_n15_peak_bucket", observations, "id", lambda: numeric.peak_bucket(c("value")), OBQ, "CASE WHEN value < 500 THEN '<500' WHEN value <= 1000 THEN '500-1000' ELSE '>1000' END")
 over("q_n16_number_spellings", lambda s, d: readings(s, d).filter("reported is not null"), "id", lambda: F.array_sort(numeric.spellings(c("reported"))), "WITH " + DP + " SELECT {sel} FROM dp WHERE reported IS NOT NULL",
-     "1")
-del ORACLES["q_n16_number_spellings"]
+     "list_sort(list_distinct(list_filter(list_concat(" + "[" + ", ".join(f"CASE WHEN abs(round(reported, {k}) - reported) < 1e-9 THEN replace(format('{{:,.{k}f}}', reported), ',', '') END" for k in range(4)) + "], [" + ", ".join(f"CASE WHEN abs(round(reported, {k}) - reported) < 1e-9 THEN format('{{:,.{k}f}}', reported) END" for k in range(4)) + "]), lambda x: x IS NOT NULL)))")
 over("q_n17_decimals", orders, "o_orderkey", lambda: numeric.declared_decimals(F.when(c("o_orderkey") % 3 == 0, "32767").when(c("o_orderkey") % 3 == 1, " ").otherwise("-3")), ORD, "CASE o_orderkey % 3 WHEN 0 THEN 'INF' WHEN 1 THEN NULL ELSE '-3' END")
 over("q_n10_stated_number", lambda s, d: table(s, d, "revenue_export").select("row_id", "value_reported").distinct(), "row_id", lambda: numeric.text_number(c("value_reported")), "SELECT {sel} FROM (SELECT DISTINCT row_id, value_reported FROM revenue_export)",
      "TRY_CAST(CASE WHEN trim(value_reported) LIKE '(%)' THEN '-' || replace(trim(trim(value_reported), '()'), ',', '') ELSE replace(replace(trim(value_reported), ',', ''), '+', CASE WHEN value_reported LIKE '%e+%' THEN '+' ELSE '' END) END AS DOUBLE)")
-over("q_n07_parse_numbers", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: text.number_tokens(c("quote")), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote IS NOT NULL", "1", alias="numbers")
-del ORACLES["q_n07_parse_numbers"]
-over("q_n13_comparative_value", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: text.comparative_value(c("quote"), c("reported")), "WITH " + DP + " SELECT {sel} FROM dp", "1")
-del ORACLES["q_n13_comparative_value"]
+over("q_n07_parse_numbers", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: text.number_tokens(c("quote")), "WITH " + DP + ", " + NUMBERS + " SELECT {sel} FROM num", "n", alias="numbers")
+over("q_n13_comparative_value", lambda s, d: readings(s, d).filter("quote is not null"), "id", lambda: text.comparative_value(c("quote"), c("reported")), "WITH " + DP + ", " + COMPARATIVE + " SELECT {sel} FROM cmp", "v")
 
 
 def cell_number(cell):
@@ -198,8 +216,7 @@ def cell_number(cell):
 
 over("q_n09_cell_number", lambda s, d: table(s, d, "revenue_export").select("row_id", "value_reported").distinct(), "row_id", lambda: cell_number(c("value_reported")), "SELECT {sel} FROM (SELECT DISTINCT row_id, value_reported FROM revenue_export)",
      "CASE WHEN trim(value_reported) = '-' THEN 0.0 ELSE TRY_CAST(CASE WHEN trim(value_reported) LIKE '(%)' THEN '-' || replace(trim(trim(value_reported), '()'), ',', '') ELSE replace(replace(trim(value_reported), ',', ''), '+', CASE WHEN value_reported LIKE '%e+%' THEN '+' ELSE '' END) END AS DOUBLE) END")
-over("q_n08_tokenize_row", lambda s, d: readings(s, d).filter("quote like '%|%'"), "id", lambda: F.transform(F.split("quote", r"\s*\|\s*"), lambda x: F.when(~x.rlike(r"^[-–—]+$"), numeric.text_number(x))), "WITH " + DP + " SELECT {sel} FROM dp", "1", alias="cells")
-del ORACLES["q_n08_tokenize_row"]
+over("q_n08_tokenize_row", lambda s, d: readings(s, d).filter("quote like '%|%'"), "id", lambda: F.transform(F.split("quote", r"\s*\|\s*"), lambda x: F.when(~x.rlike(r"^[-–—]+$"), numeric.text_number(x))), "WITH " + DP + " SELECT {sel} FROM dp WHERE quote LIKE '%|%'", text_number_sql("regexp_split_to_array(quote, '\\s*\\|\\s*')"), alias="cells")
 
 
 @query("q_n18_adds_up", "WITH s AS (SELECT l_orderkey, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(24,6))) AS parts, max(o_totalprice) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT l_orderkey, abs(total - CAST(parts AS DOUBLE)) <= 0.5 * n AS adds_up FROM s")
@@ -232,8 +249,8 @@ over("q_x13_canonical_member", lambda s, d: jobs(s, d).select("id", F.concat(F.l
 over("q_x14_member_words", lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.lit("us-gaap:"), F.initcap("p_name"), F.lit("SalesMember")).alias("m")), "p_partkey", lambda: text.member_words(c("m")), "SELECT {sel} FROM part",
      "list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ') || ['sales'], lambda x: x <> '')", alias="words")
 over("q_x16_candidates_fingerprint", lambda s, d: jobs(s, d).groupBy("run_id").agg(F.collect_set("drug_name").alias("p")), "run_id", lambda: text.candidates_fingerprint(c("p")), "SELECT {sel} FROM (SELECT run_id, list(DISTINCT trim(drug_name)) AS p FROM drug_jobs GROUP BY 1)", "substr(sha256(array_to_string(list_sort(list_distinct(p)), chr(10))), 1, 16)")
-over("q_x17_product_aliases", lambda s, d: jobs(s, d).select("id", "drug_name", "generic_name").distinct(), "id", lambda: text.product_aliases(c("drug_name"), c("generic_name")), "SELECT {sel} FROM drug_jobs", "1", alias="aliases")
-del ORACLES["q_x17_product_aliases"]
+over("q_x17_product_aliases", lambda s, d: jobs(s, d).select("id", "drug_name", "generic_name").distinct(), "id", lambda: text.product_aliases(c("drug_name"), c("generic_name")), "SELECT {sel} FROM (SELECT id, list_filter(list_transform(list_filter(list_concat([drug_name, generic_name], regexp_split_to_array(coalesce(drug_name, ''), '[|,;/]'), regexp_split_to_array(coalesce(generic_name, ''), '[|,;/]')), lambda a: a IS NOT NULL), lambda a: trim(regexp_replace(regexp_replace(a, '\\([^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g'))), lambda a: length(a) >= 3) AS l FROM (SELECT DISTINCT id, drug_name, generic_name FROM drug_jobs))",
+     "list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(list_transform(l, lambda a: lower(a)), lower(l[i])) = i), lambda i: l[i])", alias="aliases")
 over("q_x20_clean_label", readings, "id", lambda: text.clean_label(c("product")), DPQ, "trim(regexp_replace(regexp_replace(regexp_replace(product, '[®™*†‡§]|\\((?:TM|R|SM)\\)', '', 'g'), '\\s*(?:\\(\\d{1,2}\\)|\\[\\d{1,2}\\])\\s*$', ''), '\\s+', ' ', 'g'))")
 over("q_x28_normalize_value", lambda s, d: jobs(s, d).select("id", "indication").distinct(), "id", lambda: text.normalize_value(c("indication")), "SELECT {sel} FROM (SELECT DISTINCT id, indication FROM drug_jobs)", _nv("indication"))
 over("q_x29_route_terms", lambda s, d: table(s, d, "part"), "p_partkey", lambda: text.route_terms(F.concat("p_type", F.lit("; "), "p_brand", F.lit("/"), "p_type")), "SELECT {sel} FROM part", f"list_sort(list_distinct([lower({_ws('p_type')}), lower({_ws('p_brand')})]))", alias="terms")

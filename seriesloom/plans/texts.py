@@ -11,6 +11,7 @@ from seriesloom.functions.periods import loose_date, period_label, quarter_index
 from seriesloom.operators import prose
 from seriesloom.plans.problem_sql import label, qidx
 from seriesloom.plans.readings import DP, SRC, readings, sources
+from seriesloom.plans.scalars import COMPARATIVE
 from seriesloom.plans.workbench import JOB, jobs
 from seriesloom import vocab as V
 from seriesloom.session import table
@@ -214,7 +215,8 @@ def d11(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(_Q), 1)).cast("long").alias("n"))
 
 
-@query("q_d10_period_context")
+@query("q_d10_period_context", f"WITH named AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_QSQL}', 1)) AS p FROM documents WHERE text IS NOT NULL), lb AS (SELECT doc_id, {label('p')} AS k FROM named), n AS (SELECT doc_id, {qidx('k')} AS q, count(*) AS n FROM lb GROUP BY 1, 2), "
+       "t AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM n WHERE q IS NOT NULL) SELECT doc_id, max(q) AS q FROM t WHERE n * 2 >= top GROUP BY 1")
 def d10(spark: SparkSession, d: str) -> DataFrame:
     """The dominant quarter of each document: the latest of those named at least half as often as the most named."""
     named = docs(spark, d).filter("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_Q), 1)).alias("p"))
@@ -415,9 +417,15 @@ def p12(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).filter("quote is not null").select("id", F.lower(F.try_element_at(hit, F.lit(1))).alias("other")).filter("other is not null")
 
 
-@query("q_p18_verbatim", f"WITH {DP} SELECT id, contains('x ' || quote || ' y', quote) AS verbatim FROM dp WHERE quote IS NOT NULL")
+_FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query("q_p18_verbatim", f"WITH {DP}, src AS (SELECT job_id, product, max_by(quote, (length(quote), quote)) AS source FROM dp WHERE quote IS NOT NULL GROUP BY 1, 2) SELECT id, length(trim(quote)) >= 1 AND (contains(source, quote) OR contains({_FLAT.format('source')}, {_FLAT.format('quote')})) AS verbatim FROM dp JOIN src USING (job_id, product) WHERE quote IS NOT NULL")
 def p18(spark: SparkSession, d: str) -> DataFrame:
-    return readings(spark, d).filter("quote is not null").select("id", X.verbatim(c("quote"), F.concat(F.lit("x "), "quote", F.lit(" y"))).alias("verbatim"))
+    """Whether each quote stands in the longest quote its job has of the product."""
+    r = readings(spark, d).filter("quote is not null").select("id", "job_id", "product", "quote")
+    source = r.groupBy("job_id", "product").agg(F.max(F.struct(F.length("quote").alias("n"), "quote")).alias("m")).select("job_id", "product", c("m.quote").alias("source"))
+    return r.join(source, ["job_id", "product"]).select("id", X.verbatim(c("quote"), c("source")).alias("verbatim"))
 
 
 @query("q_p21_blends_sibling", f"WITH {JOB} SELECT id, contains(lower(coalesce(indication, '')), lower(drug_name) || ' ') AS blends FROM jobs")
@@ -430,10 +438,13 @@ def p37(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.when(c("text").rlike(r"(?i)\b(cost of (?:goods|sales)|R&D|research and development|inventor(?:y|ies)|operating expenses?)\b"), "non_revenue").alias("metric"))
 
 
-@query("q_p35_epc_as_moa", "SELECT p_partkey FROM part WHERE lower(p_type) IN ('promo', 'standard') OR p_partkey % 10 = 0")
+@query("q_p35_epc_as_moa", "WITH t AS (SELECT p_brand, list(DISTINCT lower(trim(split_part(p_type, ' ', 1)))) AS terms FROM part GROUP BY 1) SELECT p_partkey FROM part JOIN t USING (p_brand) WHERE list_contains(terms, lower(trim(split_part(p_name, ' ', 1))))")
 def p35(spark: SparkSession, d: str) -> DataFrame:
-    terms = F.when(c("p_partkey") % 10 == 0, F.array(F.upper("p_type"), F.lit("Promo"))).otherwise(F.array(F.lit("Promo"), F.lit("Standard")))
-    return table(spark, d, "part").filter(F.array_contains(F.transform(terms, lambda t: F.lower(X.collapse(t))), F.lower(X.collapse(c("p_type"))))).select("p_partkey")
+    """Parts whose name begins with a class their brand's types begin with: a class given for a mechanism."""
+    p = table(spark, d, "part")
+    first = lambda x: F.lower(F.trim(F.substring_index(x, " ", 1)))
+    terms = p.groupBy("p_brand").agg(F.collect_set(first("p_type")).alias("terms"))
+    return p.join(terms, "p_brand").filter(F.array_contains("terms", first("p_name"))).select("p_partkey")
 
 
 _JUDGE = f"CASE WHEN quote IS NULL OR NOT {_NAMED} THEN 'misclassified' WHEN list_contains(flags, 'label_not_understood') THEN 'undecided' WHEN period_type NOT IN ('quarterly', 'annual') THEN 'partial' WHEN contains(replace(quote, ',', ''), regexp_replace(regexp_replace(printf('%.10f', reported), '0+$', ''), '\\.$', '')) OR contains(replace(quote, ',', ''), printf('%.1f', reported)) OR contains(replace(quote, ',', ''), printf('%.0f', reported)) THEN CASE WHEN scope NOT IN ('', 'Unknown') THEN 'supported' ELSE 'undecided' END ELSE 'undecided' END"
@@ -469,7 +480,7 @@ def c52(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("job_id").agg(F.array_sort(F.collect_set(F.lower("o"))).alias("peers"))
 
 
-@query("q_c27_document_coverage")
+@query("q_c27_document_coverage", f"WITH {_PROSE}, carried AS (SELECT doc_id, count(DISTINCT period) AS quarters FROM c32 GROUP BY 1) SELECT doc_id, CASE WHEN text IS NULL THEN 'unreadable' WHEN quarters > 0 THEN 'answers' WHEN contains(lower(text), lower(drug_name)) THEN 'names_only' ELSE 'absent' END AS verdict, coalesce(quarters, 0) AS quarters FROM documents LEFT JOIN carried USING (doc_id) WHERE drug_name IS NOT NULL")
 def c27(spark: SparkSession, d: str) -> DataFrame:
     """Whether each document carries figures of its product per quarter, only names it, or is silent."""
     carried = c32(spark, d).groupBy("doc_id").agg(F.count_distinct("period").alias("quarters"))
@@ -478,7 +489,11 @@ def c27(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.when(c("text").isNull(), "unreadable").when(c("quarters") > 0, "answers").when(named, "names_only").otherwise("absent").alias("verdict"), F.coalesce("quarters", F.lit(0)).alias("quarters"))
 
 
-@query("q_c36_comparative_candidates")
+_YEAR_BEFORE = "(CASE WHEN regexp_matches(period, '^[0-9]{4}(Q[1-4]|H[12]|M9)?$') THEN CAST(CAST(substr(period, 1, 4) AS INT) - 1 AS VARCHAR) || substr(period, 5) END)"
+
+
+@query("q_c36_comparative_candidates", f"WITH {DP}, {COMPARATIVE}, made AS (SELECT job_id, product, {_YEAR_BEFORE} AS period, v, round(v, 3) AS k FROM cmp WHERE v IS NOT NULL AND reported IS NOT NULL), one AS (SELECT job_id, product, period, k, any_value(v) AS value FROM made WHERE period IS NOT NULL GROUP BY 1, 2, 3, 4) "
+       "SELECT job_id, product, period, value FROM one ANTI JOIN (SELECT job_id, product, period, round(reported, 3) AS k FROM dp WHERE quote IS NOT NULL AND reported IS NOT NULL) r USING (job_id, product, period, k)")
 def c36(spark: SparkSession, d: str) -> DataFrame:
     """Prior-year figures proven by the arithmetic of their row, where no reading has them yet."""
     from seriesloom.functions.periods import year_before

@@ -11,7 +11,7 @@ from seriesloom.operators.annual import money_sum
 from seriesloom.operators.ranking import global_rank
 from seriesloom.operators.queue import auto_pass_gate, quality_issues, review_tasks
 from seriesloom.plans.base import CELLS, LAUNCHES, OBS, cells, launches, observations
-from seriesloom.plans.problem_sql import LABEL_OF
+from seriesloom.plans.problem_sql import LABEL_OF, label, qidx
 from seriesloom.plans.readings import DP, RANKED, SRC, ranked, readings, sources
 from seriesloom.plans.series import _gaps
 from seriesloom.session import table
@@ -326,7 +326,8 @@ def c47(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(rows.filter("company like 'F%' and bucket is not null").select(F.lit("bucket").alias("field"), c("bucket").alias("option"))).distinct()
 
 
-@query("q_w16_series_end_reason")
+@query("q_w16_series_end_reason", f"WITH lb AS (SELECT *, {label('period')} AS k FROM quarterly_revenue), q AS (SELECT *, {qidx('k')} AS q FROM lb WHERE k LIKE '____Q_'), l AS (SELECT series_identity, max(q) AS lq FROM q WHERE value_reported IS NOT NULL GROUP BY 1), "
+       "a AS (SELECT series_identity, CASE WHEN contains(source_quote, 'not separately disclosed') THEN 'not_disclosed' END AS reason FROM q JOIN l USING (series_identity) WHERE q > lq) SELECT series_identity, CASE WHEN count(DISTINCT reason) = 1 THEN min(reason) END AS reason FROM a GROUP BY 1")
 def w16(spark: SparkSession, d: str) -> DataFrame:
     """The one reason recorded for the quarters after a series' last figure, if there is exactly one."""
     from seriesloom.operators.latest import quarter_rows
@@ -438,7 +439,11 @@ def w12_sampled(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["q_w12_validation_sample"] = w12_sampled
 
 
-@query("q_g24_eval_score")
+_NEARLY = "abs({0} - expected) <= greatest(abs(expected) * 0.005::DOUBLE, 0.05::DOUBLE)"
+
+
+@query("q_g24_eval_score", f"WITH {CELLS}, {DP}, want AS (SELECT lower(product) AS key, {LABEL_OF.format('q')} AS period, usd AS expected FROM cells WHERE revenue_scope = 'Worldwide'), got AS (SELECT lower(product) AS key, period, min(value) AS lo, max(value) AS hi FROM dp WHERE scope = 'Worldwide' AND value IS NOT NULL GROUP BY 1, 2) "
+       f"SELECT CASE WHEN lo IS NULL THEN 'no_answer' WHEN {_NEARLY.format('lo')} AND {_NEARLY.format('hi')} THEN 'correct' WHEN {_NEARLY.format('lo')} OR {_NEARLY.format('hi')} THEN 'conflicting' ELSE 'wrong' END AS verdict, count(*) AS n FROM want LEFT JOIN got USING (key, period) GROUP BY 1")
 def g24(spark: SparkSession, d: str) -> DataFrame:
     """Each expected figure (the latest of a worldwide series) against the readings: correct, wrong, conflicting or no answer."""
     want = cells(spark, d).filter("revenue_scope = 'Worldwide'").select(F.lower("product").alias("key"), quarter_label(c("q")).alias("period"), c("usd").alias("expected"))
