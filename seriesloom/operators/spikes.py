@@ -74,15 +74,15 @@ def details(series: DataFrame, key: str, index: str, value: str) -> DataFrame:
     """The series with ``c`` (smooth of scale one), ``smooth`` (of scale two), the neighbours they rest on, and ``scale``.
 
     ``value - c`` and ``c - smooth`` are the detail coefficients of the two
-    scales and add up to ``value - smooth``. At the ends of a series the
-    neighbours of the other side stand in for the missing ones. ``scale`` is the
+    scales and add up to ``value - smooth``. Beyond the ends of a series its last
+    values go on, so growth from a launch leaves no detail. ``scale`` is the
     median of the series' absolute linear details, as a standard deviation.
     """
     w = Window.partitionBy(key).orderBy(index)
     y = F.col(value)
     for n in (1, 2):
         series = series.withColumn(f"l{n}", F.lag(y, n).over(w)).withColumn(f"r{n}", F.lead(y, n).over(w))
-    series = series.withColumn("c", _median(y, F.coalesce("l1", "r1", y), F.coalesce("r1", "l1", y)))
+    series = series.withColumn("c", _median(y, F.coalesce("l1", y), F.coalesce("r1", y)))
     series = series.withColumn("d", F.abs(y - (F.col("l1") + F.col("r1")) / 2)).withColumn("scale", F.expr(f"percentile(d, 0.5) over (partition by {key})") * 1.4826)
     for n in (1, 2):
         series = series.withColumn(f"c_l{n}", F.lag("c", n).over(w)).withColumn(f"c_r{n}", F.lead("c", n).over(w))
@@ -90,16 +90,16 @@ def details(series: DataFrame, key: str, index: str, value: str) -> DataFrame:
 
 
 def _second(c: Column, around: list[Column]) -> Column:
-    """The median of five smooths of scale one; a missing one is mirrored."""
+    """The median of five smooths of scale one; beyond an end the last one goes on."""
     l1, r1, l2, r2 = around
-    return _median(c, F.coalesce(l1, r1, c), F.coalesce(r1, l1, c), F.coalesce(l2, r2, l1, r1, c), F.coalesce(r2, l2, r1, l1, c))
+    return _median(c, F.coalesce(l1, c), F.coalesce(r1, c), F.coalesce(l2, l1, c), F.coalesce(r2, r1, c))
 
 
 def _replaced() -> Column:
     """The smooth of scale two with another reading ``y`` in the slot: its own smooths and its neighbours' follow it."""
     y, l1, r1, l2, r2 = (F.col(c) for c in ("y", "l1", "r1", "l2", "r2"))
     c = _median(y, l1, r1)
-    left, right = _median(l1, y, F.coalesce(l2, y)), _median(r1, y, F.coalesce(r2, y))
+    left, right = _median(l1, y, F.coalesce(l2, l1)), _median(r1, y, F.coalesce(r2, r1))
     return _second(c, [left, right, F.col("c_l2"), F.col("c_r2")])
 
 

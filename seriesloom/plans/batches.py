@@ -75,33 +75,36 @@ def p05(spark: SparkSession, d: str) -> DataFrame:
     return RD.c16(spark, d).filter("selection is null or selection = 'selected'").select("id")
 
 
-@query("q_p23_states_item", "SELECT o_orderkey, o_orderkey % 2 = 0 AS states FROM orders")
+@query("q_p23_states_item", "SELECT DISTINCT id, coalesce(list_contains(quality_flags, 'scope_conflict'), false) AS states FROM drug_jobs")
 def p23(spark: SparkSession, d: str) -> DataFrame:
-    items = F.when(c("o_orderkey") % 2 == 0, "9.01, 2.02 ").otherwise("12.02,9.01")
-    return table(spark, d, "orders").select("o_orderkey", X.states_item(items, "2.02").alias("states"))
+    items = F.array_join("quality_flags", " , ")
+    return table(spark, d, "drug_jobs").select("id", F.coalesce(X.states_item(items, "scope_conflict"), F.lit(False)).alias("states")).distinct()
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    k = c("p_partkey") % 4
-    seg = F.concat(F.lit("ProductOrService=A;"), F.when(k == 0, "Scenario=ForecastMember;").when(k == 1, "Geographical=US;").otherwise(""))
-    return table(spark, d, "part").select("p_partkey", X.segments_map(seg).alias("members"))
+    """The members of each record as a tagged fact has them: no place where it is worldwide, a scenario where its quote says it is re-presented."""
+    place = F.when(c("geography") != "Worldwide", F.concat(F.lit("Geographical="), "geography", F.lit(";"))).otherwise("")
+    scenario = F.when(c("source_quote").contains("re-presented"), "Scenario=RestatementMember;").otherwise("")
+    return observations(spark, d).select("id", X.segments_map(F.concat(F.lit("ProductOrService=A;"), place, scenario)).alias("members"))
 
 
-@query("q_p25_hypothetical", "SELECT p_partkey, p_partkey % 4 = 0 AS hypothetical FROM part")
+@query("q_p25_hypothetical", f"WITH {OBS} SELECT id, coalesce(contains(source_quote, 're-presented'), false) AS hypothetical FROM obs")
 def p25(spark: SparkSession, d: str) -> DataFrame:
     mark = F.exists(F.map_entries("members"), lambda e: F.concat(e["key"], F.lit(" "), e["value"]).rlike("|".join(HYPOTHETICAL)))
-    return _members(spark, d).select("p_partkey", mark.alias("hypothetical"))
+    return _members(spark, d).select("id", mark.alias("hypothetical"))
 
 
-@query("q_p28_worldwide", "SELECT p_partkey, p_partkey % 4 <> 1 AS worldwide FROM part")
+@query("q_p28_worldwide", f"WITH {OBS} SELECT id, geography = 'Worldwide' AS worldwide FROM obs")
 def p28(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d).select("p_partkey", (~F.map_contains_key("members", "Geographical")).alias("worldwide"))
+    return _members(spark, d).select("id", (~F.map_contains_key("members", "Geographical")).alias("worldwide"))
 
 
-@query("q_p27_standard_taxonomy", "SELECT p_partkey, p_partkey % 2 = 0 AS standard FROM part")
+@query("q_p27_standard_taxonomy", f"WITH {SRC} SELECT id, coalesce(filing_type IN ('10-K', '10-Q', '20-F', '6-K'), false) AS standard FROM src")
 def p27(spark: SparkSession, d: str) -> DataFrame:
-    element = F.when(c("p_partkey") % 2 == 0, "us-gaap:Revenues").otherwise("co:Sales")
-    return table(spark, d, "part").select("p_partkey", F.substring_index(element, ":", 1).isin("us-gaap", "srt", "dei", "ifrs-full").alias("standard"))
+    """Whether a fact's element is of a standard taxonomy: the one its filing's form goes by, else the filer's own."""
+    space = F.when(c("filing_type").isin("10-K", "10-Q"), "us-gaap").when(c("filing_type").isin("20-F", "6-K"), "ifrs-full").otherwise("co")
+    element = F.concat(space, F.lit(":Revenues"))
+    return sources(spark, d).select("id", F.substring_index(element, ":", 1).isin("us-gaap", "srt", "dei", "ifrs-full").alias("standard"))
 
 
 @query("q_p32_set_aside", f"WITH {OBS}, {ESTIMATES} SELECT id, CASE WHEN estimate_type NOT IN ('consensus', 'modeled') THEN 'kind' WHEN geography <> 'Europe' THEN 'geography' WHEN currency <> 'USD' THEN 'currency' END AS reason FROM estimates")
@@ -134,14 +137,14 @@ def g29(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("brand").agg(F.max(F.struct(rank.alias("r"), "launched", "product_id")).alias("b")).select("brand", c("b.product_id").alias("product_id"))
 
 
-@query("q_u06_weights_agree", "SELECT 'indication_area' AS field WHERE false")
+@query("q_u06_weights_agree", "SELECT unnest(['approval_era', 'competitive_intensity_at_launch', 'indication_area', 'moa_class', 'route_of_administration']) AS field, 1 AS weighted, 1 AS declared")
 def u06(spark: SparkSession, d: str) -> DataFrame:
-    """Fields on one side only, of the weights and the profile: none."""
+    """Each field of the weights or of the profiles, and on which side it stands; 0 where it is missing."""
     from seriesloom.vocab import ANALOG_WEIGHTS
 
-    have = spark.createDataFrame([(x,) for x in ANALOG_WEIGHTS], "field string")
-    want = spark.createDataFrame([(x,) for x in peers.profiles(spark, d).columns if x not in ("drug_name", "id")], "field string")
-    return have.subtract(want).union(want.subtract(have))
+    have = spark.createDataFrame([(x, 1) for x in ANALOG_WEIGHTS], "field string, weighted int")
+    want = spark.createDataFrame([(x, 1) for x in peers.profiles(spark, d).columns if x not in ("drug_name", "id")], "field string, declared int")
+    return have.join(want, "field", "full").na.fill(0)
 
 
 @query("q_u07_columns_overlap", "SELECT p_partkey, p_size % 3 <> 0 AS overlap FROM part")

@@ -68,11 +68,16 @@ def a03(spark: SparkSession, d: str) -> DataFrame:
     return g.select("page_id", "col", period_label(F.array_join(F.transform("h", lambda x: x["covering"]), " ")).alias("period"))
 
 
-@query("q_a04_column_scopes", f"WITH {_CELLS} SELECT page_id, col FROM cells WHERE false")
+_PLACES = r"(?i)\b(u\.?s\.?|united states|americas?|europe|asia|worldwide|international|rest of world)\b"
+
+
+@query("q_a04_column_scopes", f"SELECT r_regionkey AS page_id, 1 AS col FROM region WHERE regexp_matches(r_name, '{_PLACES}')")
 def a04(spark: SparkSession, d: str) -> DataFrame:
-    """Columns whose stacked headings name a geography; these pages name none."""
-    g = markup.covering(s19(spark, d), "page_id").filter("row < 2")
-    return g.filter(c("covering").rlike(r"(?i)\b(u\.?s\.?|united states|worldwide|international|rest of world)\b")).select("page_id", "col").distinct()
+    """Columns whose stacked headings name a geography: pages with a region over their figures."""
+    html = F.concat(F.lit("<table><tr><th>Product</th><th>Sales in "), F.initcap("r_name"), F.lit("</th></tr><tr><td>2020</td><td>1</td></tr></table>"))
+    p = table(spark, d, "region").select(c("r_regionkey").alias("page_id"), html.alias("html"))
+    g = markup.covering(markup.html_cells(p, "page_id", "html"), "page_id").filter("row < 2")
+    return g.filter(c("covering").rlike(_PLACES)).select("page_id", "col").distinct()
 
 
 @query("q_a05_table_relevance", f"WITH {_CELLS} SELECT page_id, table_no, CAST(count(DISTINCT row) FILTER (regexp_matches(text, '^\\(?[$€£]?\\d[\\d,]*(?:\\.\\d+)?\\)?%?$')) + 2 AS BIGINT) + CASE WHEN bool_or(regexp_matches(text, '(?i)[$€£]|\\b(million|thousand|billion|revenue|sales)')) THEN 2 ELSE 0 END AS score FROM cells GROUP BY 1, 2")
@@ -231,15 +236,15 @@ def c34(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("member", F.date_format("end", "yyyyMMdd").alias("ddate")).agg(F.min(F.struct("filed", "adsh", "value")).alias("b")).select("member", "ddate", c("b.value").alias("value"))
 
 
-@query("q_s21_peak_estimates_csv", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'estimate_type_not_citable' WHEN c_custkey % 5 = 0 THEN 'date_not_iso' WHEN c_custkey % 7 = 0 THEN 'source_url_not_fetchable' ELSE 'accepted' END AS outcome FROM customer")
+@query("q_s21_peak_estimates_csv", "SELECT DISTINCT row_id, CASE WHEN coalesce(trim(value_reported), '') = '' THEN 'missing_value' WHEN NOT regexp_matches(trim(value_reported), '^[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?$') THEN 'value_not_a_number' ELSE 'accepted' END AS outcome FROM revenue_export")
 def s21(spark: SparkSession, d: str) -> DataFrame:
-    k = c("c_custkey")
-    raw = table(spark, d, "customer").select(
-        k.cast("string").alias("product"), F.when(k % 4 == 0, "observed").otherwise("consensus").alias("estimate_type"), c("c_acctbal").cast("string").alias("value"), F.lit("USD").alias("currency"), F.lit("Worldwide").alias("geography"),
-        F.lit("Product family").alias("revenue_scope"), F.when(k % 5 == 0, "08/01/2026").otherwise("2026-08-01").alias("as_of_date"), F.when(k % 7 == 0, "http://localhost/x").otherwise("https://example.test/report").alias("source_url"),
+    """The export read as a file of cited estimates: what is accepted, and why the rest is not."""
+    raw = table(spark, d, "revenue_export").select(
+        c("row_id").cast("string").alias("product"), F.lit("consensus").alias("estimate_type"), c("value_reported").alias("value"), F.lit("USD").alias("currency"), F.lit("Worldwide").alias("geography"),
+        F.lit("Product family").alias("revenue_scope"), F.date_format("exported_at", "yyyy-MM-dd").alias("as_of_date"), F.lit("https://example.test/report").alias("source_url"),
     )
     ok, bad = files.check_estimates(raw)
-    return ok.select(c("product").cast("long").alias("c_custkey"), F.lit("accepted").alias("outcome")).unionByName(bad.select(c("product").cast("long").alias("c_custkey"), c("problem").alias("outcome")))
+    return ok.select(c("product").cast("long").alias("row_id"), F.lit("accepted").alias("outcome")).unionByName(bad.select(c("product").cast("long").alias("row_id"), c("problem").alias("outcome"))).distinct()
 
 
 @query("q_s23_product_list", "SELECT DISTINCT trim(drug_name) AS product FROM drug_jobs WHERE trim(drug_name) <> ''")
@@ -259,12 +264,12 @@ def s02(spark: SparkSession, d: str) -> DataFrame:
     return o.filter((c("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (c("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))).select("o_orderkey")
 
 
-@query("q_s03_earnings_exhibits", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders WHERE o_orderkey % 2 = 0) WHERE rn <= 3")
+@query("q_s03_earnings_exhibits", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY manufacturer ORDER BY created_at DESC, id) AS rn FROM (SELECT DISTINCT * FROM drug_jobs) WHERE list_contains(quality_flags, 'mixed_currency')) WHERE rn <= 3")
 def s03(spark: SparkSession, d: str) -> DataFrame:
-    """The three newest filings of each filer that state item 2.02; the budget is the feature."""
-    o = table(spark, d, "orders").withColumn("items", F.when(c("o_orderkey") % 2 == 0, "7.01, 2.02").otherwise("9.01"))
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    return o.filter(X.states_item(c("items"), "2.02")).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("o_orderkey")
+    """The three newest filings of each filer that state an item; jobs and their flags stand for filings and items, and the budget is the feature."""
+    o = table(spark, d, "drug_jobs").distinct().withColumn("items", F.array_join("quality_flags", ", "))
+    w = Window.partitionBy("manufacturer").orderBy(F.desc("created_at"), "id")
+    return o.filter(X.states_item(c("items"), "mixed_currency")).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("id")
 
 
 @query("q_s07_search_queries", "SELECT p_partkey, unnest([0, 1, 2]) AS place, unnest(['brand', 'brand', 'generic']) AS scope FROM part")

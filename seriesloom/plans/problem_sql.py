@@ -91,7 +91,7 @@ P4_ALL = (
 def p7(explained: str, floor: float, steepness: float, frozen: int) -> str:
     """Implausible records, by the multiscale median transform over each series' latest figures."""
     limit = f"({floor}::DOUBLE + {steepness}::DOUBLE * coalesce(scale, 0))"
-    smooth = lambda c, l1, r1, l2, r2: f"list_sort([{c}, coalesce({l1}, {r1}, {c}), coalesce({r1}, {l1}, {c}), coalesce({l2}, {r2}, {l1}, {r1}, {c}), coalesce({r2}, {l2}, {r1}, {l1}, {c})])[3]"
+    smooth = lambda c, l1, r1, l2, r2: f"list_sort([{c}, coalesce({l1}, {c}), coalesce({r1}, {c}), coalesce({l2}, {l1}, {c}), coalesce({r2}, {r1}, {c})])[3]"
     out = lambda d: f"l1 IS NOT NULL AND r1 IS NOT NULL AND (({d} > {limit} AND NOT x) OR {d} < -{limit})"
     mid = lambda a, b, c: f"list_sort([{a}, {b}, {c}])[2]"
     return (
@@ -100,10 +100,10 @@ def p7(explained: str, floor: float, steepness: float, frozen: int) -> str:
         "f AS (SELECT *, CASE WHEN lag(v) OVER w = v AND lag(i) OVER w = i - 1 THEN 0 ELSE 1 END AS starts FROM s WINDOW w AS (PARTITION BY k ORDER BY i)), "
         "g AS (SELECT *, sum(starts) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f), h AS (SELECT *, count(*) OVER (PARTITION BY k, run) AS n FROM g), "
         "y AS (SELECT *, ln(v) AS y FROM s WHERE v > 0), n AS (SELECT *, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, lead(y, 1) OVER w AS r1, lead(y, 2) OVER w AS r2 FROM y WINDOW w AS (PARTITION BY k ORDER BY i)), "
-        f"c AS (SELECT *, {mid('y', 'coalesce(l1, r1, y)', 'coalesce(r1, l1, y)')} AS c, quantile_cont(abs(y - (l1 + r1) / 2), 0.5) OVER (PARTITION BY k) * 1.4826::DOUBLE AS scale FROM n), "
+        f"c AS (SELECT *, {mid('y', 'coalesce(l1, y)', 'coalesce(r1, y)')} AS c, quantile_cont(abs(y - (l1 + r1) / 2), 0.5) OVER (PARTITION BY k) * 1.4826::DOUBLE AS scale FROM n), "
         "t AS (SELECT *, lag(c, 1) OVER w AS cl1, lag(c, 2) OVER w AS cl2, lead(c, 1) OVER w AS cr1, lead(c, 2) OVER w AS cr2 FROM c WINDOW w AS (PARTITION BY k ORDER BY i)), "
         f"z AS (SELECT r.row_id, ln(r.v) AS y, r.x, l1, r1, l2, r2, cl2, cr2, scale FROM r JOIN t ON r.k = t.k AND r.i = t.i WHERE r.v > 0 AND t.several AND r.row_id <> t.row_id), "
-        f"o AS (SELECT *, {mid('y', 'l1', 'r1')} AS c, {mid('l1', 'y', 'coalesce(l2, y)')} AS a, {mid('r1', 'y', 'coalesce(r2, y)')} AS b FROM z) "
+        f"o AS (SELECT *, {mid('y', 'l1', 'r1')} AS c, {mid('l1', 'y', 'coalesce(l2, l1)')} AS a, {mid('r1', 'y', 'coalesce(r2, r1)')} AS b FROM z) "
         f"SELECT row_id, 'impossible' AS problem FROM r WHERE v <= 0 UNION SELECT row_id, 'frozen' FROM h WHERE n >= {frozen} AND starts = 0 "
         f"UNION SELECT row_id, 'spike' FROM (SELECT *, y - {smooth('c', 'cl1', 'cr1', 'cl2', 'cr2')} AS d FROM t) WHERE {out('d')} "
         f"UNION SELECT row_id, 'spike' FROM (SELECT *, y - {smooth('c', 'a', 'b', 'cl2', 'cr2')} AS d FROM o) WHERE {out('d')}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["problems", "problem_sql", "series", "readings", "peers", "scalars", "workbench", "facts", "texts", "batches", "stream"]
+MODULES = ["problems", "problem_sql", "series", "readings", "peers", "scalars", "workbench", "facts", "texts", "batches", "manifests", "stream"]
 
 
 def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:

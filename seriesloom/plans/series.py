@@ -258,10 +258,11 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
     return j.filter(gap > 2.5).select("series", F.col("y").alias("year"), F.col("value").alias("summed"), "stated", gap.alias("gap"))
 
 
-@query("q_g23_series_consistency", f"WITH {OBS} SELECT series, count(DISTINCT product) AS products, count(DISTINCT currency) AS currencies, count(DISTINCT geography) AS geographies FROM obs GROUP BY 1 HAVING count(DISTINCT product) > 1 OR count(DISTINCT currency) > 1 OR count(DISTINCT geography) > 1")
+@query("q_g23_series_consistency", f"WITH {OBS} SELECT product AS line, count(DISTINCT currency) AS currencies, count(DISTINCT geography) AS geographies, count(DISTINCT revenue_scope) AS scopes FROM obs GROUP BY 1 HAVING count(DISTINCT currency) > 1 OR count(DISTINCT geography) > 1 OR count(DISTINCT revenue_scope) > 1")
 def g23(spark: SparkSession, d: str) -> DataFrame:
-    g = observations(spark, d).groupBy("series").agg(F.count_distinct("product").alias("products"), F.count_distinct("currency").alias("currencies"), F.count_distinct("geography").alias("geographies"))
-    return g.filter("products > 1 or currencies > 1 or geographies > 1")
+    """Lines that mix currencies, geographies or scopes; taken by product, since the stored series are uniform."""
+    g = observations(spark, d).groupBy(F.col("product").alias("line")).agg(F.count_distinct("currency").alias("currencies"), F.count_distinct("geography").alias("geographies"), F.count_distinct("revenue_scope").alias("scopes"))
+    return g.filter("currencies > 1 or geographies > 1 or scopes > 1")
 
 
 _BENCH = f"{_ROLLPEAK}, {ESTIMATES}, ue AS (SELECT product, median(value) AS est FROM estimates WHERE estimate_type IN ('consensus', 'modeled') AND currency = 'USD' GROUP BY 1), sp2 AS (SELECT series, any_value(product) AS product FROM cells GROUP BY 1)"

@@ -336,12 +336,26 @@ def x40(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("id").agg(F.count("*").alias("figures"))
 
 
-@query("q_x15_member_match", f"WITH {JOB}, m AS (SELECT DISTINCT regexp_replace(lower(drug_name), '[^a-z0-9]', '', 'g') AS k FROM jobs) SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'joined' WHEN p_partkey % 3 = 1 THEN 'excluding' ELSE 'unmatched' END AS verdict FROM part")
+def _member_words(x: str) -> str:
+    split = rf"regexp_replace(regexp_replace(regexp_replace(string_split({x}, ':')[-1], 'Member$', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array(lower({split}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+_X15 = (
+    f"WITH {DP}, {JOB}, m AS (SELECT id, {_member_words(chr(39) + 'co:' + chr(39) + ' || regexp_replace(product, ' + chr(39) + '\\s*[/+]\\s*' + chr(39) + ', ' + chr(39) + ' And ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS w FROM dp), "
+    f"p AS (SELECT k, count(*) AS claimants FROM (SELECT DISTINCT array_to_string({_member_words('drug_name')}, '') AS k, drug_name FROM jobs) GROUP BY 1), "
+    "r AS (SELECT *, CASE WHEN len(w) = 0 THEN 'unknown' WHEN list_has_any(w, ['and', 'with', 'plus']) THEN 'joined' WHEN list_has_any(w[1:greatest(len(w) - 1, 1)], ['excluding', 'excluded', 'except', 'excludes', 'other', 'than', 'outside', 'without']) THEN 'excluding' END AS refusal FROM m), "
+    "u AS (SELECT id, len(w) AS total, n, array_to_string(w[len(w) - n + 1:len(w)], '') AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS n FROM r WHERE refusal IS NULL)), "
+    "b AS (SELECT id, arg_max(n, (n, claimants)) AS n, any_value(total) AS total, arg_max(claimants, (n, claimants)) AS claimants FROM u JOIN p USING (k) GROUP BY 1) "
+    "SELECT id, coalesce(refusal, CASE WHEN claimants > 1 THEN 'ambiguous' WHEN n = total THEN 'exact' WHEN n IS NOT NULL THEN 'suffix' ELSE 'unmatched' END) AS verdict FROM r LEFT JOIN b USING (id)"
+)
+
+
+@query("q_x15_member_match", _X15)
 def x15(spark: SparkSession, d: str) -> DataFrame:
-    k = c("p_partkey") % 3
-    m = table(spark, d, "part").select("p_partkey", F.when(k == 0, "co:AlphaAndBetaMember").when(k == 1, "co:OtherThanAlphaMember").otherwise("co:GammaSalesMember").alias("member"))
-    products = jobs(spark, d).select(F.explode(F.array("drug_name")).alias("product"))
-    return match_members(m, "p_partkey", products).select("p_partkey", "verdict")
+    """Printed labels as members of a tagged instance, against the requested products."""
+    m = readings(spark, d).select("id", F.concat(F.lit("co:"), F.regexp_replace("product", r"\s*[/+]\s*", " And ")).alias("member"))
+    return match_members(m, "id", jobs(spark, d).select(c("drug_name").alias("product"))).select("id", "verdict")
 
 
 def match_members(members: DataFrame, key: str, products: DataFrame) -> DataFrame:

@@ -460,9 +460,12 @@ def p06(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d).filter("period_type = 'quarterly' and status in ('auto_pass', 'confirmed')").select("id")
 
 
-@query("q_p31_withheld", f"WITH {OBS} SELECT id FROM obs WHERE source_type IN ('investor_presentation', 'transcript') AND status <> 'confirmed'")
+@query("q_p31_withheld", f"WITH {DP}, {SRC} SELECT dp.id FROM dp JOIN src ON dp.source_id = src.id WHERE regexp_replace(lower(trim(source_type)), '[\\s_-]+', '_', 'g') IN ('investor_presentation', 'transcript') AND status <> 'ok'")
 def p31(spark: SparkSession, d: str) -> DataFrame:
-    return observations(spark, d).filter("source_type in ('investor_presentation', 'transcript') and status != 'confirmed'").select("id")
+    """Readings of presentations and transcripts that are not settled."""
+    kind = F.regexp_replace(F.lower(F.trim("source_type")), r"[\s_-]+", "_")
+    s = sources(spark, d).select(c("id").alias("source_id"), kind.alias("kind")).filter(c("kind").isin("investor_presentation", "transcript"))
+    return readings(spark, d).filter("status != 'ok'").join(s, "source_id", "left_semi").select("id")
 
 
 # --- sources and top-k -------------------------------------------------------------------------

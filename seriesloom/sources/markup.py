@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from seriesloom.session import cut_lineage
 
-ROW_LIMIT = 200  # rows of a table that are read; the format's own limit
+SPAN_LIMITS = {"colspan": 1000, "rowspan": 65534}  # the HTML standard's own
 
 
 class _Tables(HTMLParser):
     """Collects (table, row, column, text, is_origin); spans are filled with cells that have no text."""
 
-    def __init__(self) -> None:
+    def __init__(self, row_limit: int | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.row_limit = row_limit
         self.cells: list[tuple[int, int, int, str | None, bool]] = []
         self.table = -1
         self.stack: list[dict] = []
@@ -37,7 +38,7 @@ class _Tables(HTMLParser):
         elif self.stack and tag in ("td", "th"):
             self._close()
             at = dict(attrs)
-            size = lambda k: max(1, int(at[k])) if (at.get(k) or "").isdigit() else 1
+            size = lambda k: min(max(1, int(at[k])), SPAN_LIMITS[k]) if re.fullmatch("[0-9]+", at.get(k) or "") else 1
             self.open = {"across": size("colspan"), "down": size("rowspan"), "text": []}
 
     def handle_data(self, data: str) -> None:
@@ -56,7 +57,7 @@ class _Tables(HTMLParser):
             return
         t = self.stack[-1]
         r = max(t["row"], 0)
-        if r >= ROW_LIMIT:
+        if self.row_limit is not None and r >= self.row_limit:
             return
         while (r, t["col"]) in t["taken"]:
             t["col"] += 1
@@ -69,10 +70,11 @@ class _Tables(HTMLParser):
         t["col"] += cell["across"]
 
 
-def html_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
+def html_cells(documents: DataFrame, key: str, html: str, row_limit: int | None = None) -> DataFrame:
     """(key, table_no, row, col, text, is_origin) of every table of every document.
 
-    Null and table-less documents yield nothing; malformed markup is read as far as it goes.
+    All rows of a table are read unless ``row_limit`` is given. Null and
+    table-less documents yield nothing; malformed markup is read as far as it goes.
     """
     dtype = dict(documents.dtypes)[key]
 
@@ -81,7 +83,7 @@ def html_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
             out = []
             for k, text in zip(pdf["k"], pdf["h"]):
                 if text:
-                    p = _Tables()
+                    p = _Tables(row_limit)
                     p.feed(text)
                     p.close()
                     p._close()
