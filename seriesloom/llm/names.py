@@ -242,6 +242,10 @@ def _companies(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_company(x) for x in s], columns=["names", "field", "initial"])
 
 
+# a condition on what they return must not move them before the distinct names
+_products, _companies = _products.asNondeterministic(), _companies.asNondeterministic()
+
+
 def _modes(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent non-null value per key, the least of equals; counted before it is ranked."""
     counts = rows.filter(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(key, value).count()
