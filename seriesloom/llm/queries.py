@@ -46,6 +46,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers hold, how many are overfull, and whether they are within two percent (or three) of the least number that could do."""
+    packed = packing.pack_documents(table(spark, d, "documents"))
+    filled = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"), F.count_if(F.col("piece") == 1).alias("documents"))
+    total = filled.agg(F.sum("documents").alias("documents"), F.sum("items").alias("pieces"), F.sum("n").alias("tokens"), F.count("*").alias("containers"), F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"))
+    least = F.ceil(F.col("tokens") / packing.CAPACITY)
+    return total.select("documents", "pieces", "tokens", least.alias("least_containers"), F.col("overfull").cast("int").alias("overfull"), (F.col("containers") <= F.greatest(least * 1.02, least + 3)).alias("within_two_percent"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -81,4 +90,4 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     return spans.levels(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_survivors, p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_classes, p10_documents, p10_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_survivors, p8_found, p8_containers, p8_totals, p9_found, p9_documents, p10_found, p10_classes, p10_documents, p10_levels)}
