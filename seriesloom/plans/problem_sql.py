@@ -34,6 +34,31 @@ _POINTS = (
     "grid AS (SELECT series_identity, unnest(range(lo, hi + 1)) AS q FROM spans)"
 )
 P1 = f"{_POINTS} SELECT g.series_identity, {LABEL_OF.format('g.q')} AS period FROM grid g ANTI JOIN held h ON g.series_identity = h.series_identity AND g.q = h.q"
+
+
+def _normal_equations(ridge: float) -> str:
+    """The grid's regression by LDL' of its five normal equations, one aliased step after another."""
+    terms = ["1.0::DOUBLE", "(i - 8060) / 40.0::DOUBLE", "cos((i - 8060) * pi() / 2)", "sin((i - 8060) * pi() / 2)", "cos((i - 8060) * pi())"]
+    n = range(len(terms))
+    sums = [f"sum({terms[a]} * {terms[b]}) + {(ridge * (1e-3 if a == 0 else 1)) if a == b else 0.0}::DOUBLE AS a{a}{b}" for a in n for b in n if b <= a] + [f"sum({terms[a]} * v) AS r{a}" for a in n]
+    steps = []
+    for j in n:
+        steps.append(f"a{j}{j}" + "".join(f" - l{j}{k} * l{j}{k} * d{k}" for k in range(j)) + f" AS d{j}")
+        steps += [f"(a{a}{j}" + "".join(f" - l{a}{k} * l{j}{k} * d{k}" for k in range(j)) + f") / d{j} AS l{a}{j}" for a in n if a > j]
+    steps += [f"r{j}" + "".join(f" - l{j}{k} * z{k}" for k in range(j)) + f" AS z{j}" for j in n]
+    steps += [f"z{j} / d{j}" + "".join(f" - l{a}{j} * b{a}" for a in n if a > j) + f" AS b{j}" for j in reversed(n)]
+    fit = lambda x: "(" + " + ".join(f"b{k} * {t.replace('i - ', x + ' - ')}" for k, t in enumerate(terms)) + ")"
+    return (
+        f"WITH {_QUARTERS}, o AS (SELECT series_identity, q AS i, arg_max(value_reported, (reported_at, row_id)) AS v FROM quarters WHERE value_reported IS NOT NULL AND series_identity IS NOT NULL GROUP BY 1, 2), "
+        f"u AS (SELECT series_identity, {', '.join(sums)} FROM o GROUP BY 1), f AS (SELECT series_identity, {', '.join(steps)} FROM u), "
+        "w AS (SELECT *, lead(i) OVER (PARTITION BY series_identity ORDER BY i) AS ni, lead(v) OVER (PARTITION BY series_identity ORDER BY i) AS nv FROM o), "
+        f"g AS (SELECT *, v - {fit('i')} AS le, nv - {fit('ni')} AS ri FROM (SELECT *, unnest(range(i, coalesce(ni, i + 1))) AS g FROM w) JOIN f USING (series_identity)), "
+        f"e AS (SELECT *, {fit('g')} AS fitted, (g - i) / (ni - i)::DOUBLE AS share FROM g), h AS (SELECT *, fitted + le + share * (ri - le) AS fill FROM e) "
+        f"SELECT series_identity, {LABEL_OF.format('g')} AS period, round(CASE WHEN g = i THEN v WHEN fill < 0 AND v >= 0 AND nv >= 0 THEN 0 ELSE fill END, 4) AS value_reported, round(fitted, 4) AS fitted, CASE WHEN g = i THEN 'observed' ELSE 'filled' END AS status FROM h"
+    )
+
+
+P1_GRID = _normal_equations(1e-3)
 _TOTALS = (
     f"WITH {_QUARTERS}, latest AS (SELECT series_identity, q, arg_max(CAST(value_normalized_usd_millions AS DECIMAL(28,6)), (reported_at, row_id)) AS v, "
     "max_by(value_normalized_usd_millions IS NULL, (reported_at, row_id)) AS none FROM quarters GROUP BY 1, 2), "
@@ -113,4 +138,4 @@ def p7(explained: str, floor: float, steepness: float, frozen: int) -> str:
 _CONFLICT = lambda side, t, v: " UNION ALL ".join(f"SELECT row_id, '{side}' AS copy, '{f}' AS field, CAST(min({e}) AS VARCHAR) AS least, CAST(max({e}) AS VARCHAR) AS greatest FROM {t} GROUP BY row_id HAVING min({e}) <> max({e}) OR count({e}) NOT IN (0, count(*))" for f, e in [("drug_name", _plain("drug_name")), ("period", _MEANT), ("value_reported", v), ("currency", _plain("currency"))])
 P4_CONFLICTS = _CONFLICT("revenue", "quarterly_revenue", "value_reported") + " UNION ALL " + _CONFLICT("export", "revenue_export", _NUMBER)
 
-ORACLES = {"p1_found": P1, "p2_found": P2, "p2_trailing": P2_ALL, "p4_found": P4, "p4_differences": P4_ALL, "p4_conflicts": P4_CONFLICTS}
+ORACLES = {"p1_found": P1, "p1_grid": P1_GRID, "p2_found": P2, "p2_trailing": P2_ALL, "p4_found": P4, "p4_differences": P4_ALL, "p4_conflicts": P4_CONFLICTS}

@@ -24,9 +24,9 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every series with exactly one row per quarter; gaps are predicted and marked."""
+    """Every series with exactly one row per quarter; gaps are predicted, to four places, and marked."""
     g = _grid(spark, d)
-    return g.select("series_identity", quarter_label(F.col("q")).alias("period"), "value_reported", "fitted", F.when(F.col("is_observed"), "observed").otherwise("filled").alias("status"))
+    return g.select("series_identity", quarter_label(F.col("q")).alias("period"), F.round("value_reported", 4).alias("value_reported"), F.round("fitted", 4).alias("fitted"), F.when(F.col("is_observed"), "observed").otherwise("filled").alias("status"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
