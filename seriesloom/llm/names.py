@@ -111,10 +111,13 @@ _FIELD_OF = {alias: name for name, aliases in FIELDS.items() for alias in aliase
 
 
 @lru_cache(maxsize=1 << 16)
-def _field(token: str) -> str | None:
-    """The field a token means, one or two slips allowed in a long one."""
+def _field(token: str, dotted: bool) -> str | None:
+    """The field a token means: a known form of it, the beginning of just one, or a long one with a slip or two."""
     if token in _FIELD_OF:
         return _FIELD_OF[token]
+    begun = [name for name in FIELDS if name.startswith(token)]
+    if len(token) >= (3 if dotted else 5) and len(begun) == 1:
+        return begun[0]
     if len(token) < 7:
         return None
     c, n, _ = encode([token] * len(FIELDS))
@@ -136,7 +139,7 @@ def read_company(raw: str) -> tuple[list[str], str, str]:
         if len(t) == 1:
             initial = t
             continue
-        f = _field(t)
+        f = _field(t, dotted)
         if f and not field:
             field = f
         else:

@@ -118,3 +118,9 @@ def test_short_and_far_abbreviated_names_with_one_generic(spark):
     jobs = [("1", "Bobuto", "bifubozumab", None, None), ("2", "Babtuto", "bifubozumab", None, None), ("3", "Bob.", "bifubozumab", None, None), ("4", "Babuta", None, None, None)]
     got = classes(names.product_classes(spark.createDataFrame(jobs, JOB), spark.createDataFrame([], POINT)))
     assert got == {frozenset({"Bobuto", "Babtuto", "Bob."}), frozenset({"Babuta"})}  # two edits in six letters, and no generic to bear them out
+
+
+def test_a_field_cut_short_is_that_field(spark):
+    assert names.read_company("Vara & Funore Therap. Ltd.") == (["funore", "vara"], "therapeutics", "")
+    assert names.read_company("Vara Labor. Bio.") == (["bio", "vara"], "laboratories", "")  # "bio" begins three fields
+    assert companies(spark, [("Kifi & Fejute Therapeutics", None), ("Kifi & Fejute Therap.", None), ("K. Fejute Therapeutics", None)]) == {frozenset({"Kifi & Fejute Therapeutics", "Kifi & Fejute Therap.", "K. Fejute Therapeutics"})}
