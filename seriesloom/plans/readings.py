@@ -11,6 +11,7 @@ from seriesloom.operators import readings as R
 from seriesloom.plans.base import _END, CELLS, cells, observations
 from seriesloom.plans.problem_sql import LABEL_OF, label
 from seriesloom.session import table
+from seriesloom.vocab import SOURCE_ORDER
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,7 +73,7 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", F.coalesce("sid", "f.id").alias("document_id"), F.coalesce("url1", "f.source_url").alias("url"))
 
 
-_ORDER = ["sec_filing", "annual_report", "quarterly_report", "earnings_release", "company_ir", "investor_presentation", "transcript", "other", "llm_search"]
+_ORDER = SOURCE_ORDER
 _KIND = "regexp_replace(lower(trim(source_type)), '[\\s_-]+', '_', 'g')"
 _SRANK = f"(CASE WHEN source_type IS NULL THEN 10 ELSE coalesce(nullif(list_position([{', '.join(repr(x) for x in _ORDER)}], {_KIND}), 0), 8) END)"
 

@@ -15,6 +15,7 @@ from seriesloom.plans.problem_sql import LABEL_OF, label, qidx
 from seriesloom.plans.readings import DP, RANKED, SRC, ranked, readings, sources
 from seriesloom.plans.series import _gaps
 from seriesloom.session import table
+from seriesloom.vocab import SOURCE_ORDER
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -470,7 +471,7 @@ def p31(spark: SparkSession, d: str) -> DataFrame:
 
 # --- sources and top-k -------------------------------------------------------------------------
 
-_FITS = "(['sec_filing', 'annual_report', 'quarterly_report', 'earnings_release', 'company_ir', 'investor_presentation', 'transcript', 'other', 'llm_search'])"
+_FITS = f"({SOURCE_ORDER})"
 
 
 @query("q_t03_prioritized_sources", f"WITH {SRC}, r AS (SELECT *, coalesce(nullif(list_position({_FITS}, regexp_replace(lower(trim(source_type)), '[\\s_-]+', '_', 'g')), 0), 8) AS fit FROM src) SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY fit, relevant DESC, id) AS place FROM r")
@@ -567,4 +568,5 @@ def x41(spark: SparkSession, d: str) -> DataFrame:
     return jobs(spark, d).select("id", F.size(F.array_distinct(F.array_compact(each))).cast("long").alias("n"))
 
 
+ORACLES["q_x28b_profile_spellings"] = f"WITH {_EAV} SELECT field, count(DISTINCT lower(trim(regexp_replace(regexp_replace(coalesce(value, ''), '\\s+', ' ', 'g'), '[\\s.]+$', '')))) AS n FROM eav GROUP BY 1"
 QUERIES["q_x28b_profile_spellings"] = lambda spark, d: profile_fields(spark, d).groupBy("field").agg(F.count_distinct(normalize_value(c("value"))).alias("n"))
