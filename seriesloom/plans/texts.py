@@ -337,18 +337,20 @@ def x40(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _member_words(x: str) -> str:
-    split = rf"regexp_replace(regexp_replace(regexp_replace(string_split({x}, ':')[-1], 'Member$', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    split = rf"regexp_replace(regexp_replace(regexp_replace(string_split({x}, ':')[-1], 'Member$', ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
     return f"list_filter(regexp_split_to_array(lower({split}), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
-_X15 = (
-    f"WITH {DP}, {JOB}, m AS (SELECT id, {_member_words(chr(39) + 'co:' + chr(39) + ' || regexp_replace(product, ' + chr(39) + '\\s*[/+]\\s*' + chr(39) + ', ' + chr(39) + ' And ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS w FROM dp), "
-    f"p AS (SELECT k, count(*) AS claimants FROM (SELECT DISTINCT array_to_string({_member_words('drug_name')}, '') AS k, drug_name FROM jobs) GROUP BY 1), "
+# over members m(id, w): each one's verdict and, where exactly one product answers, the product
+_MATCH = (
+    f"p AS (SELECT k, count(*) AS claimants, min(drug_name) AS product FROM (SELECT DISTINCT array_to_string({_member_words('drug_name')}, '') AS k, drug_name FROM jobs) GROUP BY 1), "
     "r AS (SELECT *, CASE WHEN len(w) = 0 THEN 'unknown' WHEN list_has_any(w, ['and', 'with', 'plus']) THEN 'joined' WHEN list_has_any(w[1:greatest(len(w) - 1, 1)], ['excluding', 'excluded', 'except', 'excludes', 'other', 'than', 'outside', 'without']) THEN 'excluding' END AS refusal FROM m), "
     "u AS (SELECT id, len(w) AS total, n, array_to_string(w[len(w) - n + 1:len(w)], '') AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS n FROM r WHERE refusal IS NULL)), "
-    "b AS (SELECT id, arg_max(n, (n, claimants)) AS n, any_value(total) AS total, arg_max(claimants, (n, claimants)) AS claimants FROM u JOIN p USING (k) GROUP BY 1) "
-    "SELECT id, coalesce(refusal, CASE WHEN claimants > 1 THEN 'ambiguous' WHEN n = total THEN 'exact' WHEN n IS NOT NULL THEN 'suffix' ELSE 'unmatched' END) AS verdict FROM r LEFT JOIN b USING (id)"
+    "b AS (SELECT id, max(n) AS n, any_value(total) AS total, arg_max(claimants, n) AS claimants, arg_max(product, n) AS product FROM u JOIN p USING (k) GROUP BY 1), "
+    "ruled AS (SELECT id, coalesce(refusal, CASE WHEN claimants > 1 THEN 'ambiguous' WHEN n = total THEN 'exact' WHEN n IS NOT NULL THEN 'suffix' ELSE 'unmatched' END) AS verdict, CASE WHEN refusal IS NULL AND claimants = 1 THEN product END AS product FROM r LEFT JOIN b USING (id))"
 )
+_LABEL_MEMBER = "'co:' || regexp_replace(product, '\\s*[/+]\\s*', ' And ', 'g')"
+_X15 = f"WITH {DP}, {JOB}, m AS (SELECT id, {_member_words(_LABEL_MEMBER)} AS w FROM dp), {_MATCH} SELECT id, verdict FROM ruled"
 
 
 @query("q_x15_member_match", _X15)
@@ -376,12 +378,18 @@ def match_members(members: DataFrame, key: str, products: DataFrame) -> DataFram
     return m.join(best, key, "left").select(key, F.coalesce("refusal", hit).alias("verdict"), F.when(c("refusal").isNull() & (c("b.claimants") == 1), c("b.product")).alias("product"))
 
 
-@query("q_j16_resolve_members")
+_NAME_MEMBER = "'co:' || regexp_replace(drug_name, '[^A-Za-z0-9]', '', 'g') || 'Member'"
+_CANON = "regexp_replace(lower(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'), 'Member$', '')), '[^a-z0-9]', '', 'g')"
+
+
+@query("q_j16_resolve_members", f"WITH {JOB}, j AS (SELECT DISTINCT id, drug_name FROM jobs WHERE drug_name IS NOT NULL), m AS (SELECT id, {_member_words(_NAME_MEMBER)} AS w FROM j), {_MATCH}, "
+       f"reg AS (SELECT {_CANON.format('drug_name')} AS k, min(drug_name) AS known FROM jobs WHERE status = 'completed' AND drug_name IS NOT NULL GROUP BY 1) "
+       f"SELECT id, coalesce(known, product) AS product, CASE WHEN known IS NOT NULL THEN 'register' ELSE verdict END AS verdict FROM j JOIN ruled USING (id) LEFT JOIN reg ON reg.k = {_CANON.format('j.drug_name')}")
 def j16(spark: SparkSession, d: str) -> DataFrame:
     """The register first, then the rules."""
-    j = jobs(spark, d)
-    m = j.select("id", F.concat(F.lit("co:"), F.regexp_replace(F.initcap("drug_name"), "[^A-Za-z0-9]", ""), F.lit("Member")).alias("member"))
-    register = j.filter("status = 'completed' and drug_name is not null").select(X.canonical_member(F.regexp_replace("drug_name", "[^A-Za-z0-9]", "")).alias("k"), "drug_name").groupBy("k").agg(F.min("drug_name").alias("known"))
+    j = jobs(spark, d).filter("drug_name is not null")
+    m = j.select("id", F.concat(F.lit("co:"), F.regexp_replace("drug_name", "[^A-Za-z0-9]", ""), F.lit("Member")).alias("member")).distinct()
+    register = j.filter("status = 'completed'").select(X.canonical_member(F.regexp_replace("drug_name", "[^A-Za-z0-9]", "")).alias("k"), "drug_name").groupBy("k").agg(F.min("drug_name").alias("known"))
     ruled = match_members(m, "id", j.select(c("drug_name").alias("product")))
     out = m.withColumn("k", X.canonical_member(c("member"))).join(register, "k", "left").join(ruled, "id")
     return out.select("id", F.coalesce("known", "product").alias("product"), F.when(c("known").isNotNull(), "register").otherwise(c("verdict")).alias("verdict"))
