@@ -25,12 +25,12 @@ P10_DOCUMENTS = (
     "m AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 320 THEN 0 ELSE 1 END AS new FROM s), "
     "n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m), "
     "t AS (SELECT doc_id, max(i) - min(i) + 320 AS size FROM n GROUP BY doc_id, run), "
-    "z AS (SELECT doc_id, count(*) AS n_stretches, sum(size) AS shared_chars, max(size) AS longest FROM t GROUP BY 1) "
+    "z AS (SELECT doc_id, count(*) AS n_stretches, CAST(sum(size) AS BIGINT) AS shared_chars, max(size) AS longest FROM t GROUP BY 1) "
     "SELECT doc_id, n_stretches, shared_chars, longest, length(text) AS n_chars, shared_chars / length(text) AS share FROM z JOIN documents USING (doc_id)"
 )
 # of containers SQL can state how many items and tokens they hold, that none is overfull, and the least number that could do
 P8_TOTALS = (
-    f"WITH d AS (SELECT doc_id, max({_TOKENS}) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1), t AS (SELECT count(*) AS documents, sum(greatest(CAST(ceil(n / 2048) AS BIGINT), 1)) AS pieces, sum(n) AS tokens FROM d) "
+    f"WITH d AS (SELECT doc_id, max({_TOKENS}) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1), t AS (SELECT count(*) AS documents, CAST(sum(greatest(CAST(ceil(n / 2048) AS BIGINT), 1)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS tokens FROM d) "
     "SELECT documents, pieces, tokens, CAST(ceil(tokens / 2048) AS BIGINT) AS least_containers, 0 AS overfull, true AS within_two_percent FROM t"
 )
 ORACLES = {"p8_found": P8, "p8_totals": P8_TOTALS, "p9_found": P9, "p9_documents": P9_DOCUMENTS, "p10_found": P10, "p10_documents": P10_DOCUMENTS}

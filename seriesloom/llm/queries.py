@@ -80,7 +80,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     """
     shared = spans.shared_windows(table(spark, d, "documents"))
     runs = spans.stretches(shared).groupBy("doc")
-    runs = runs.agg(F.count("*").alias("n_stretches"), F.sum(F.col("end") - F.col("begin")).alias("shared_chars"), F.max(F.col("end") - F.col("begin")).alias("longest"))
+    runs = runs.agg(F.count("*").alias("n_stretches"), F.sum(F.col("end") - F.col("begin")).alias("shared_chars"), F.max(F.col("end") - F.col("begin")).cast("long").alias("longest"))
     sized = spans.texts_of(table(spark, d, "documents"), 0).groupBy("doc", "ver").agg(F.max(F.length("text")).alias("n")).groupBy("doc").agg(F.sum("n").alias("n_chars"))
     return runs.join(sized, "doc").withColumn("share", F.col("shared_chars") / F.col("n_chars")).withColumnRenamed("doc", "doc_id")
 
