@@ -87,19 +87,19 @@ _X18 = (
 @query("q_x18_read_label", _X18)
 def x18(spark: SparkSession, d: str) -> DataFrame:
     r = labelled(spark, d).select("id", prose.read_label(c("product"), c("own"), c("combined")).alias("l"))
-    return r.select("id", "l.matched", "l.scope", "l.is_total", F.size("l.combined").alias("others"), "l.residue", F.array_join("l.flags", ",").alias("flags"))
+    return r.select("id", "l.matched", "l.scope", "l.is_total", F.size("l.combined").cast("long").alias("others"), "l.residue", F.array_join("l.flags", ",").alias("flags"))
 
 
 @query("q_x19_read_footnote", f"WITH {_LABELLED} SELECT id, CASE WHEN regexp_matches(lower(quote), '\\binclud(?:es|ing|ed)\\b|\\btogether with\\b') THEN len(list_filter(others, lambda o: contains(lower(quote), lower(o)))) ELSE 0 END AS includes, "
        f"regexp_matches(lower(quote), {_t(prose.NO_SALES)}) AS no_sales, regexp_matches(lower(quote), {_t(prose.PART_PERIOD)}) AS partial, len(list_filter(own, lambda a: contains(lower(quote), lower(a)))) > 0 AS names_own FROM lab WHERE quote IS NOT NULL")
 def x19(spark: SparkSession, d: str) -> DataFrame:
     r = labelled(spark, d).filter("quote is not null").select("id", prose.read_footnote(c("quote"), c("own"), c("combined")).alias("n"))
-    return r.select("id", F.size("n.includes").alias("includes"), "n.no_sales", "n.partial", "n.names_own")
+    return r.select("id", F.size("n.includes").cast("long").alias("includes"), "n.no_sales", "n.partial", "n.names_own")
 
 
 @query("q_x26_sentences", f"WITH {_sentences('(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)', 'text')} SELECT doc_id, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM sen")
 def x26(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(prose.sentences(c("text"))).alias("place", "sentence"))
+    return docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(prose.sentences(c("text"))).alias("place", "sentence")).withColumn("place", c("place").cast("long"))
 
 
 _SPELLS = "contains(lower(replace(x, ',', '')), regexp_replace(regexp_replace(printf('%.10f', reported), '0+$', ''), '\\.$', '')) OR contains(replace(x, ',', ''), printf('%.1f', reported)) OR contains(replace(x, ',', ''), printf('%.0f', reported))"
