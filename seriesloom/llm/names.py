@@ -198,14 +198,14 @@ def radius_join(names: DataFrame, column: str, radius: int) -> DataFrame:
     """(a, b, d): all pairs a < b of distinct strings within ``radius`` (one or two) of the edit metric.
 
     The join on cells is an equi-join that AQE may split where many names share
-    a pivot. Nulls and empty strings join nothing.
+    a pivot; its result is written once. Nulls and empty strings join nothing.
     """
 
     @F.pandas_udf(T.IntegerType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(_distances_within(a.tolist(), b.tolist(), radius), dtype="int32")
 
-    return candidate_pairs(names, column, radius).withColumn("d", distance("a", "b")).filter(F.col("d") <= radius)
+    return write_once(candidate_pairs(names, column, radius).withColumn("d", distance("a", "b")).filter(F.col("d") <= radius))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def product_classes(drug_jobs: DataFrame, datapoints: DataFrame) -> DataFrame:
     told = told.select(F.least("a", "b").alias("node_x"), F.greatest("a", "b").alias("node_y")).distinct()
     key = loose.select("*", F.least("node_x", "node_y").alias("k"), F.greatest("node_x", "node_y").alias("l"))
     same_job = key.join(told.select(F.col("node_x").alias("k"), F.col("node_y").alias("l")), ["k", "l"], "left_semi").select(F.col("k").alias("a"), F.col("l").alias("b"))
-    loose = loose.filter(~_other_syllable("core_x", "core_y", "d"))
+    loose = write_once(loose.filter(~_other_syllable("core_x", "core_y", "d")))
     column = lambda x, y: loose.select(F.col(f"node_{x}").alias("a"), F.col(f"node_{y}").alias("b"), "d", F.col(f"w_{y}").alias("w"), F.col(f"generic_{x}").alias("own"), F.col(f"generic_{y}").alias("its"))
     toward = column("x", "y").unionByName(column("y", "x")).filter("own is null")
     doubt = F.col("d") + F.when(F.col("its").isNotNull() | (F.col("w") >= 3), 0).otherwise(1)
@@ -392,7 +392,7 @@ def company_classes(drug_jobs: DataFrame) -> DataFrame:
     first = F.exists("names", lambda n: (n != F.col("word")) & n.startswith(F.col("p_initial")))
     fits = ((F.col("p_field") == "") | (F.col("field") == "") | (F.col("p_field") == F.col("field"))) & ((F.col("p_initial") == "") | first)
     fits = fits & F.coalesce(F.col("p_ticker") == F.col("ticker"), F.lit(True))
-    hits = hits.filter(fits).groupBy("p_node", "class").agg(F.min("d").alias("d"))
+    hits = write_once(hits.filter(fits).groupBy("p_node", "class").agg(F.min("d").alias("d")))
     nearest = hits.groupBy("p_node").agg(F.min("d").alias("d"))
     hits = hits.join(nearest, ["p_node", "d"])
     one = hits.groupBy("p_node").agg(F.count("*").alias("k"), F.min("class").alias("class")).filter("k = 1").select(F.col("p_node").alias("node"), "class")
