@@ -317,13 +317,14 @@ def c40(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q_b10_launch_aligned",
-    f"WITH {CELLS}, x AS (SELECT series, value, q - min(q) OVER (PARTITION BY series) AS n FROM cells) SELECT series, " + ", ".join(f"max(value) FILTER (n = {n}) AS y{n // 4 + 1}q{n % 4 + 1}" for n in range(12)) + " FROM x GROUP BY 1",
+    f"WITH {CELLS}, {LAUNCHES}, k AS (SELECT *, coalesce(product, series, '') AS key FROM cells), f AS (SELECT key, min(q) AS first FROM k GROUP BY 1), l AS (SELECT product AS key, year(launch_date) * 4 + quarter(launch_date) - 1 AS launch FROM launches), "
+    "x AS (SELECT k.series, value, q - coalesce(launch, first) AS n, launch IS NOT NULL AS stated FROM k JOIN f USING (key) LEFT JOIN l USING (key)) "
+    "SELECT series, n, 'Year ' || CAST(floor(n / 4) + 1 AS BIGINT) || ' Q' || ((n % 4 + 4) % 4 + 1) AS launch_column, stated, value FROM x",
 )
 def b10(spark: SparkSession, d: str) -> DataFrame:
     """Every cell by its offset from the launch, in long form, so that no history is too long.
 
-    The anchor is the stated launch quarter, else the product's first reported quarter; ``stated`` says which. The
-    statement above keeps offsets under twelve from the series' own first quarter and is not equal to this.
+    The anchor is the stated launch quarter, else the product's first reported quarter; ``stated`` says which.
     """
     c = cells(spark, d).withColumn("key", F.coalesce("product", "series", F.lit("")))  # a series without a product stands for itself
     stated = launches(spark, d).select(F.col("product").alias("key"), (F.year("launch_date") * 4 + F.quarter("launch_date") - 1).alias("launch"))
@@ -333,12 +334,9 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
     return x.select("series", "n", label.alias("launch_column"), F.col("launch").isNotNull().alias("stated"), "value")
 
 
-@query("q_b09_quarter_matrix", f"WITH {CELLS} SELECT series, " + ", ".join(f"max(value) FILTER (q = {2019 * 4 + n}) AS q{2019 + n // 4}_{n % 4 + 1}" for n in range(8)) + " FROM cells GROUP BY 1")
+@query("q_b09_quarter_matrix", f"WITH {CELLS} SELECT series, {LABEL_OF.format('q')} AS quarter, value FROM cells")
 def b09(spark: SparkSession, d: str) -> DataFrame:
-    """Every cell of the series x calendar-quarter matrix in long form, so that no period is left out; a blank is no row.
-
-    The statement above pivots the eight quarters of 2019 and 2020 only and is not equal to this.
-    """
+    """Every cell of the series x calendar-quarter matrix in long form, so that no period is left out; a blank is no row."""
     return cells(spark, d).select("series", quarter_label(F.col("q")).alias("quarter"), "value")
 
 

@@ -543,12 +543,9 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).withColumn("key", F.lower("product")).join(a, "key").select("series", "q", "indication")
 
 
-@query("q_j15_target_pairs", f"WITH {JOB}, p AS (SELECT id, {_KEY} AS key, indication FROM jobs WHERE indication IS NOT NULL), t AS (SELECT * FROM p WHERE substr(id, 1, 1) = '0') SELECT t.id AS target, count(*) AS candidates FROM t JOIN p USING (indication) WHERE t.key <> p.key GROUP BY 1")
+@query("q_j15_target_pairs", f"WITH {JOB}, p AS (SELECT id, {_KEY} AS key, indication FROM jobs WHERE indication IS NOT NULL), t AS (SELECT * FROM p) SELECT t.id AS target, count(*) AS candidates FROM t JOIN p USING (indication) WHERE t.key <> p.key GROUP BY 1")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of every job with an indication: the indication's jobs less those of its own key, so no pairs are formed.
-
-    The statement above takes only targets whose id begins with 0 and is not equal to this.
-    """
+    """Candidates of every job with an indication: the indication's jobs less those of its own key, so no pairs are formed."""
     p = jobs(spark, d).select("id", analog_key(c("drug_name")).alias("key"), "indication").filter("indication is not null and key is not null")
     n = p.groupBy("indication", "key").agg(F.count("*").alias("own"))
     of = n.groupBy("indication").agg(F.sum("own").alias("all"))
