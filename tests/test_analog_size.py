@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators import peers as P
+from seriesloom.plans import peers as plans
 
 PROFILE = "drug_name string, indication_area string, moa_class string, route_of_administration string, approval_era string, competitive_intensity_at_launch string"
 
@@ -37,3 +38,36 @@ def test_scores_are_made_once_for_products_alike(spark, products):
     assert got["0", "3"] == (1.0, 5, list(P.ANALOG_WEIGHTS), None) and got["0", "0"] == (None, 0, None, "same_product")
     assert got["0", "1"] == (0.4375, 5, ["moa_class"], None) and got["0", "2"] == (0.0, 0, [], None) and got["20", "0"] == (None, 0, None, "no_comparable_attributes")
     assert most(df, ["Join"], "numOutputRows") < 1000
+
+
+def test_ranking_shuffles_no_pairs(spark, products, monkeypatch):
+    monkeypatch.setattr(plans, "profiles", lambda spark, d: products.withColumn("id", F.col("drug_name").cast("bigint")))
+    df = plans.w10(spark, "")
+    rows = df.collect()
+    each = {}
+    for r in rows:
+        each.setdefault(r.target, []).append(r)
+    assert {len(x) for x in each.values()} == {1333} and all(sorted(r.rank for r in x) == list(range(1, len(x) + 1)) for x in each.values())
+    # the like are sorted by name; the target is not among them
+    like = sorted(str(i) for i in range(0, 2000, 3) if i)
+    assert [r.candidate for r in sorted(each["0"], key=lambda r: r.rank)][: len(like)] == like
+    assert most(df, ["ShuffleExchange"], "shuffleRecordsWritten") < len(rows) / 4
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_ranking_equals_that_of_the_pairs(spark, monkeypatch, twice):
+    import random
+
+    rnd = random.Random(5)
+    pick = lambda *xs: rnd.choice([None, *xs])
+    row = lambda n: (n, pick("gout", "acute gout", "asthma"), pick("x", "y"), pick("PO", "oral", "iv"), pick("2000-2004", "2005-2009", "2015-2019"), pick("low", "medium", "high"))
+    rows = [row(f"n{i}") for i in range(160)] + [("alone", "rare", "z", "inhaled", "1980-1984", "low")]
+    targets = [*rows[:25], rows[-1], row("not a candidate"), ("other", *rows[3][1:]), ("n90", "rare", "z", "iv", "1980-1984", "high")]
+    rows = [r for r in rows if r[0] != "other"] + ([row("n7"), row("n120"), row(None)] if twice else [])
+    targets += [row("n9"), row(None)] if twice else []
+    t, c = spark.createDataFrame(targets, PROFILE), spark.createDataFrame(rows, PROFILE)
+    monkeypatch.setattr(P, "BLOCK_SETS", 5, raising=False)
+    monkeypatch.setattr(P, "NAMES_A_ROW", 2, raising=False)
+    seen = lambda df: sorted(map(repr, (tuple(r) for r in df.select("target", "candidate", "score", "compared", "band", "rank").collect())))
+    got = seen(P.ranked_analogs(t, c))
+    assert len(got) > 1000 and got == seen(P.rank_analogs(P.score_analogs(t, c)))
