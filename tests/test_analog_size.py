@@ -71,3 +71,28 @@ def test_ranking_equals_that_of_the_pairs(spark, monkeypatch, twice):
     seen = lambda df: sorted(map(repr, (tuple(r) for r in df.select("target", "candidate", "score", "compared", "band", "rank").collect())))
     got = seen(P.ranked_analogs(t, c))
     assert len(got) > 1000 and got == seen(P.rank_analogs(P.score_analogs(t, c)))
+
+
+def test_no_row_of_a_ranking_stands_for_many_pairs():
+    """Spark's generated code holds all rows that one row yields: names times targets alike must not grow with the tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    names, targets = [f"n{i:05}" for i in range(9000)], [f"t{i:03}" for i in range(300)]
+    sets = np.arange(9000) % 3
+    kind = lambda k, **cols: pa.RecordBatch.from_pylist([{"kind": k} | x for x in ([dict(zip(cols, v)) for v in zip(*cols.values())])], pa.schema([("kind", pa.int32()), *[(c, t) for c, t in types.items()]]))
+    whole = lambda t: pa.list_(t)
+    types = {"below": whole(pa.int64()), "totals": whole(pa.int64()), "drug_name": pa.string(), "set": pa.int32(), "codes": whole(pa.int16()), "bands": whole(pa.int32()), "depths": whole(pa.int32()), "scores": whole(pa.float64()), "targets": whole(pa.string()), "owns": whole(pa.int16())}
+    batches = [
+        kind(0, below=[[10, 20, 30]], totals=[[3010, 3020, 3030]]), kind(1, drug_name=names, set=sets.tolist()),
+        kind(2, codes=[[1, -1, 0]], bands=[[1, 2]], depths=[[5, 4]], scores=[[0.9, 0.5]], targets=[targets], owns=[[0] + [None] * 299]),
+    ]
+    got = [r for b in P.merged_runs(batches) for r in b.to_pylist()]
+    assert max(len(r["candidates"]) * len(r["targets"]) for r in got) <= 1000
+    placed = {}
+    for r in got:
+        assert len(r["targets"]) == 300
+        placed |= {(r["run"], r["first"] + i): (n, r["band"], r["compared"], r["score"]) for i, n in enumerate(r["candidates"])}
+    # 30 and 10 names of the runs lie in shares before; the second run follows all 3,030 names of the first
+    expected = {(0, 30 + i): (n, 1, 5, 0.9) for i, n in enumerate(names[2::3])} | {(1, 3030 + 10 + i): (n, 2, 4, 0.5) for i, n in enumerate(names[0::3])}
+    assert placed == expected
